@@ -184,7 +184,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gathe
 
     all_ = ws.save(map_arrow(rows, find, "doc_id long, text_hash long, start long, n int, anchor long, content long"), "spans")
     often = all_.groupBy("anchor").agg(F.count("*").alias("k"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("k > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("several"))
-    met = ws.save(all_.join(often, "anchor"), "met")
+    # as a table, so that the join has plain shuffles below it and a hot anchor's spans are split over tasks
+    met = ws.save(all_.join(ws.save(often, "often"), "anchor"), "met")
     ws.drop("spans")
     contents = ws.save(met.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.first("n").alias("n"), F.first("several").alias("several")), "contents")
     # bytes of each distinct content, from its first copy
