@@ -148,7 +148,7 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["set_id"].to_numpy(), bands)), pa.array(key.ravel().view(np.int64))], ["set_id", "key"])
 
     keys = ws.save(sets.select("set_id", "regs").mapInArrow(band, keys_schema), "keys")
-    hubs = keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    hubs = ws.save(keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub"), "hubs")
     edges = keys.join(hubs, "key").filter("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
     coarse = components(ws, edges, "coarse")
     ws.drop("keys")
@@ -185,7 +185,7 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
     ws.drop("members")
     roots = components(ws, links, "links")
     named = all_.join(roots, all_["set_id"] == roots["id"], "left").withColumn("group", F.coalesce("root", "set_id"))
-    names = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    names = ws.save(named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "names")
     out = named.join(names, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
