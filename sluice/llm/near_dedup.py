@@ -35,7 +35,7 @@ from .kernels import LOWER, mix, shingles, word_hashes
 
 B, RATE, TOP = 1.001, 20.0, 65535
 #: A task's block: sets and bytes of text.
-BLOCK_SETS, BLOCK_BYTES = 2000, 12 << 20
+BLOCK_SETS, BLOCK_BYTES = 1000, 8 << 20
 #: Log-likelihood ratio beyond which a pair is taken to be below the threshold: once in 1e7 pairs at it.
 RATIO = 14.0
 
