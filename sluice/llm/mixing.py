@@ -139,7 +139,9 @@ class Mix:
                             index[which] = permute(index[which], int(blocks[g]), (seed * 1000003 + int(g)) * 64 + int(k) + 7)
                     yield record(SLOTS_ARROW, shard=np.full(n, shard), slot=slot + np.arange(n), source_no=source, **{"pass": turn}, block=index)
 
-        return placed.mapInArrow(fill, schema)
+        # as a table: its size is known, so the join by block number shuffles it once it is large
+        deal = placed.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+        return self.ws.save(deal.mapInArrow(fill, schema), "slots")
 
     def taken(self) -> DataFrame:
         """The mix: shard, slot, pass, source_no, block and, of each document in the block, part, row, doc_id, first_word, n_words."""
