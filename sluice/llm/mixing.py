@@ -140,7 +140,7 @@ class Mix:
                     yield record(SLOTS_ARROW, shard=np.full(n, shard), slot=slot + np.arange(n), source_no=source, **{"pass": turn}, block=index)
 
         # as a table: its size is known, so the join by block number shuffles it once it is large
-        deal = placed.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+        deal = placed.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no")
         return self.ws.save(deal.mapInArrow(fill, schema), "slots")
 
     def taken(self) -> DataFrame:
