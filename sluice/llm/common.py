@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of all contracts: runs of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are taken to numpy in slices of about this many bytes (a longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,9 +85,26 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def released(rows: Iterator) -> Iterator:
+    """The rows; at the end of a task, freed memory goes back to the system, as Spark keeps its Python workers."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library than glibc
+            pass
+
+
+def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """mapInArrow; f takes the iterator of batches."""
+    return df.mapInArrow(lambda batches: released(f(batches)), schema)
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: str, column: str = "text") -> DataFrame:
     """mapInArrow over slices of bounded size; f takes the iterator of slices."""
-    return df.mapInArrow(lambda batches: f(sliced(batches, column)), schema)
+    return map_batches(df, lambda batches: f(sliced(batches, column)), schema)
 
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:

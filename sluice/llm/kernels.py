@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -22,21 +20,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, i up to 2 ** bits."""
-    n = 1 << bits
-    out = []
-    for b in (BASE, BASE_INVERSE):
-        x = np.full(n + 1, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse, i up to n at least. One table each, as long as the longest asked for."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        out = []
+        for b in (BASE, BASE_INVERSE):
+            x = np.full(max(n, PIECE) + 1, b, np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        _POWERS[:] = out
+    return _POWERS[0], _POWERS[1]
 
 
 def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Polynomial prefix sums of the bytes, modulo 2 ** 64, and the inverse powers that bring any substring's sum to its start."""
-    up, down = powers(max(16, int(len(data)).bit_length()))
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return sums, down

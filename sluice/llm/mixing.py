@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, flat, map_arrow, record
+from .common import Workspace, documents, flat, map_arrow, map_batches, record
 from .kernels import permute, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -141,7 +141,7 @@ class Mix:
 
         # as a table: its size is known, so the join by block number shuffles it once it is large
         deal = placed.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no")
-        return self.ws.save(deal.mapInArrow(fill, schema), "slots")
+        return self.ws.save(map_batches(deal, fill, schema), "slots")
 
     def taken(self) -> DataFrame:
         """The mix: shard, slot, pass, source_no, block and, of each document in the block, part, row, doc_id, first_word, n_words."""

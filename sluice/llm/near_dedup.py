@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, flat, map_arrow, record
+from .common import Workspace, documents, flat, map_arrow, map_batches, record
 from .graph import components
 from .kernels import LOWER, mix, shingles, word_hashes
 
@@ -147,7 +147,7 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, bands: int =
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, i])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["set_id"].to_numpy(), bands)), pa.array(key.ravel().view(np.int64))], ["set_id", "key"])
 
-    keys = ws.save(sets.select("set_id", "regs").mapInArrow(band, keys_schema), "keys")
+    keys = ws.save(map_batches(sets.select("set_id", "regs"), band, keys_schema), "keys")
     hubs = ws.save(keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub"), "hubs")
     edges = keys.join(hubs, "key").filter("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
     coarse = components(ws, edges, "coarse")

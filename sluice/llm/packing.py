@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, map_arrow, record
+from .common import Workspace, documents, map_arrow, map_batches, record
 from .tokens import default_tokenizer, encoder, with_end
 
 TOKENS = "doc_id long, source string, part long, local_start long, ids array<int>"
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, length: int = 4096, granule: int = 32, weights: dict |
                     yield record(PIECES_ARROW, doc_id=batch["doc_id"].take(pa.array(row)), start=begin, length=size, ids_crc32=np.array(crc, np.int64), doc_tokens=n[row], sequence_id=sequence, offset=offset, source=batch["source"].take(pa.array(row)), ids=ids)
 
     placed = tokens.join(starts.select("source", "part", "queue_start"), (tokens["part"] == starts["part"]) & tokens["source"].eqNullSafe(starts["source"])).select("doc_id", tokens["source"], "local_start", "queue_start", "ids")
-    return placed.mapInArrow(cut, PIECES)
+    return map_batches(placed, cut, PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, flat, map_arrow, record
+from .common import Workspace, documents, flat, map_arrow, map_batches, record
 from .kernels import mix, prefix, sliding_min
 
 K = 32
@@ -121,7 +121,7 @@ def match_groups(batches, length: int):
             continue
         held.append(batch)
         size += batch.nbytes
-        if size > 6 << 20:
+        if size > 3 << 20:
             table = pa.Table.from_batches(held)
             anchor = table["anchor"].to_numpy()
             cut = int(np.searchsorted(anchor, anchor[-1]))
@@ -147,7 +147,7 @@ def counted(hot: DataFrame, length: int) -> DataFrame:
                     both.append(mix((sums[length : length + n] - sums[:n]) * down[:n]).view(np.int64))
                 yield record(schema, anchor=np.full(n, batch["anchor"][i].as_py()), content=np.full(n, batch["content"][i].as_py()), offset=np.arange(n), h1=both[0], h2=both[1])
 
-    all_ = hot.mapInArrow(windows, "anchor long, content long, offset long, h1 long, h2 long")
+    all_ = map_batches(hot, windows, "anchor long, content long, offset long, h1 long, h2 long")
     order = hot.select(F.col("anchor").alias("x"), F.col("content").alias("y"), F.struct("doc_id", "text_hash", "start").alias("first"))
     all_ = all_.join(order, (F.col("anchor") == F.col("x")) & (F.col("content") == F.col("y"))).drop("x", "y")
     classes = all_.groupBy("h1", "h2").agg(F.count("*").alias("k"), F.min("first").alias("least")).filter("k > 1")
@@ -164,7 +164,7 @@ def counted(hot: DataFrame, length: int) -> DataFrame:
                     both[k].append(runs(mask[k]))
             yield record(FOUND, anchor=batch["anchor"], content=batch["content"], any_runs=both[0], later_runs=both[1])
 
-    return found.mapInArrow(lists, FOUND_SQL)
+    return map_batches(found, lists, FOUND_SQL)
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gathered: int = GATHERED) -> DataFrame:
@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gathe
         usual = pieces.join(hot, "anchor", "left_anti")
     else:
         found, usual = None, pieces
-    usual = usual.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id").mapInArrow(lambda batches: match_groups(batches, length), FOUND_SQL)
+    usual = map_batches(usual.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id"), lambda batches: match_groups(batches, length), FOUND_SQL)
     found = ws.save(usual.unionByName(found) if found is not None else usual, "found")
     found = found.groupBy("anchor", "content").agg(F.first("any_runs").alias("any_runs"), F.first("later_runs").alias("later_runs"))
     told = contents.join(found, ["anchor", "content"], "left").filter("copies > 1 OR size(any_runs) > 0").select(F.col("anchor").alias("a"), F.col("content").alias("c"), "copies", "first", "any_runs", "later_runs")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, map_arrow, record
+from .common import Workspace, documents, map_arrow, map_batches, record
 from .tokens import default_tokenizer, encoder, with_end
 
 FILE = "doc_id long, n_tokens long, part long, local_start long, ids array<int>"
@@ -76,7 +76,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             start = np.array([starts.value[p] for p in batch["part"].to_pylist()], np.int64) + batch["local_start"].to_numpy()
             yield record(INDEX_ARROW, doc_id=batch["doc_id"], start=start, n_tokens=np.diff(offsets), ids_crc32=np.array(crc, np.int64))
 
-    return token_rows(spark, path).mapInArrow(index, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(token_rows(spark, path), index, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

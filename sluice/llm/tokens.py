@@ -14,8 +14,8 @@ from .common import flat
 from .kernels import LOWER, span_hashes, words
 
 
-#: Words and ids kept at most by one Python worker, about 250 MB; beyond that the cache starts anew.
-CACHE_WORDS, CACHE_IDS = 800_000, 8_000_000
+#: Words and ids kept at most by one Python worker, about 100 MB; beyond that the cache starts anew.
+CACHE_WORDS, CACHE_IDS = 500_000, 4_000_000
 #: New words encoded as one text.
 JOINED = 500
 
@@ -128,7 +128,7 @@ class Encoder:
             self.forget()
         before, last = data[np.maximum(e - 2, s)], data[e - 1]
         stop = ((last == 46) | (last == 44)) & (e - s > 1) & ((before | 32) >= 97) & ((before | 32) <= 122)
-        wide = np.zeros(len(data) + 1, np.int64)
+        wide = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
         np.cumsum(data >= 128, out=wide[1:])
         kept = wide[e] > wide[s]  # words with other than ASCII letters keep their case
         edges = np.zeros(len(data) + 1, np.int8)
