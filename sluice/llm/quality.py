@@ -112,7 +112,8 @@ def judged(rated: DataFrame, limits: DataFrame) -> DataFrame:
     for k in FLOORS:
         within &= F.col(f"v.{k}") <= F.col(f"limits.{k}")
     out = rated.join(limits, rated["lang"].eqNullSafe(limits["t_lang"]) & rated["source"].eqNullSafe(limits["t_source"]))
-    return out.withColumn("kept", ~F.col("base_failed") & within).drop("t_lang", "t_source", "limits")
+    # one expression of both sides: a part of it pushed below the join would work out all features twice
+    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(within)).drop("t_lang", "t_source", "limits")
 
 
 def rated_rows(ws: Workspace, docs: DataFrame) -> DataFrame:
