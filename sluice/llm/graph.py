@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with pointer jumping; nothing comes to the driver but a count per round."""
+"""Connected components of an edge table by contraction; nothing comes to the driver but whether a round left edges."""
 
 from __future__ import annotations
 
@@ -7,21 +7,34 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Pointer jumps in a round: chains of up to 2 ** JUMPS nodes collapse at once, longer ones over more rounds.
+JUMPS = 3
+
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
-    """id, root (the least id reachable) of all ends of edges (a, b). Joins are on ids, of which the hot ones are split at run time; labels are pre-aggregated before the shuffle."""
-    both = ws.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{name}-edges")
-    labels, step = ws.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")), f"{name}-0"), 0
-    while True:
-        step += 1
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("m"))
-        low = labels.join(near, labels["id"] == near["a"]).select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        low = ws.save(low, f"{name}-{step}-low")
-        jump = low.select(F.col("id").alias("j"), F.col("root").alias("far"))
-        new = ws.save(low.join(jump, low["root"] == jump["j"]).select("id", "old", F.least("root", "far").alias("root")), f"{name}-{step}")
-        ws.drop(f"{name}-{step}-low")
-        if not new.filter("old <> root").limit(1).count():
-            ws.drop(f"{name}-edges")
-            return new.select("id", "root")
-        ws.drop(f"{name}-{step - 1}")
-        labels = new.select("id", "root")
+    """id, root (the least id reachable) of all ends of edges (a, b).
+
+    In each round every node points to its least neighbour, or itself; pointers are followed; nodes become what they
+    point to, and edges within one node go. Each round at least halves the nodes that still have edges, and edges shrink
+    faster, so later rounds cost little. Labels are pre-aggregated before each shuffle; joins have tables on both sides,
+    so hot nodes are split over tasks.
+    """
+    todo = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges-0")
+    labels, i = None, 0
+    while labels is None or not todo.isEmpty():
+        i += 1
+        down = todo.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id")
+        ends = todo.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
+        points = ws.save(down.unionByName(ends).groupBy("id").agg(F.min("root").alias("root")), f"{name}-{i}-0")
+        for j in range(JUMPS):
+            far = points.select(F.col("id").alias("j"), F.col("root").alias("far"))
+            points = ws.save(points.join(far, points["root"] == far["j"]).select("id", F.col("far").alias("root")), f"{name}-{i}-{j + 1}")
+        to = lambda c: points.select(F.col("id").alias(f"_{c}"), F.col("root").alias(f"new_{c}"))  # noqa: B023,E731
+        moved = todo.join(to("a"), F.col("a") == F.col("_a")).join(to("b"), F.col("b") == F.col("_b")).select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
+        todo = ws.save(moved.filter("a <> b").distinct(), f"{name}-edges-{i}")
+        if labels is None:
+            labels = points
+        else:
+            new = points.select(F.col("id").alias("_r"), F.col("root").alias("far"))
+            labels = ws.save(labels.join(new, F.col("root") == F.col("_r"), "left").select("id", F.coalesce("far", "root").alias("root")), f"{name}-labels-{i}")
+    return labels
