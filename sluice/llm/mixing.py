@@ -87,7 +87,9 @@ class Mix:
         self.sources = [(s, n, t) for (s, n), t in zip(sums, due, strict=True)]
         table = self.spark.createDataFrame([(i, *x) for i, x in enumerate(self.sources)], "source_no int, name string, source_size long, target double")
         starts = self.parts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
-        self.rows = rows.join(table, rows["source"].eqNullSafe(table["name"])).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("start", F.col("local_start") + F.col("before")).drop("name", "s", "p", "before", "local_start")
+        # one table by source and part, written: its size decides how it is joined, and a hot source has many parts
+        places = ws.save(starts.join(F.broadcast(table), F.col("s").eqNullSafe(F.col("name"))).drop("name"), "places")
+        self.rows = rows.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("start", F.col("local_start") + F.col("before")).drop("s", "p", "before", "local_start")
         first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
         cut = self.rows.filter("size > 0").select("part", "row", "doc_id", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
         begin = F.greatest(F.col("start"), F.col("block") * block)
