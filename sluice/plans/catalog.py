@@ -25,3 +25,6 @@ def slice_returned_revenue(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'")
     amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum(amount.cast("decimal(18,4)")).cast("double").alias("revenue"), F.count("*").alias("n"))
+
+
+from . import functions, rows  # noqa: E402,F401  they register themselves
