@@ -150,8 +150,8 @@ class LateSplit(_Keyed):
         yield pd.DataFrame(out, columns=["key", "time", "value", "late"])
 
 
-def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "ProcessingTime") -> DataFrame:
-    """A processor for each key; needs the RocksDB provider (ROCKS) in the session."""
+def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "None") -> DataFrame:
+    """A processor for each key; needs the RocksDB provider (ROCKS) in the session, and mode "ProcessingTime" for timers."""
     return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", mode)
 
 
