@@ -173,7 +173,7 @@ def test_live_throttle_and_late(spark, tmp_path):
 
 
 def test_live_window(spark, tmp_path):
-    rows = [(pd.Timestamp(x, unit="ms"), 1) for x in (100, 500, 1100)]
+    rows = [(pd.Timestamp(x, unit="ms").to_pydatetime(), 1) for x in (100, 500, 1100)]
     out = streamed(spark, tmp_path, rows, "ts timestamp, v int", lambda d: live.tumbling(d, "ts", "1 second", "0 seconds", n=F.count("*")), "complete")
     assert sorted(out.n) == [1, 2]
 
