@@ -61,31 +61,44 @@ def power(base, exponent, integer: bool = False) -> Column:
 
 # comparison
 
+#: Types that compare with each other by value (fixed values).
+NUMBERS = "^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
+
+
+def numbers(a: Column, b: Column) -> Column:
+    """Whether both columns hold numbers: known from their types, so the optimiser leaves nothing of it."""
+    return F.typeof(a).rlike(NUMBERS) & F.typeof(b).rlike(NUMBERS)
+
 
 def equal(a, b, floats: str | None = None) -> Column:
-    """floats: "float" or "double" compares within the type's epsilon, absolutely."""
+    """floats: "float" or "double" compares within the type's epsilon, absolutely. Numbers don't equal what isn't one."""
     a, b = col(a), col(b)
-    return a == b if floats is None else F.abs(a - b) < (EPSILON32 if floats == "float" else EPSILON64)
+    return F.when(numbers(a, b) | (F.typeof(a) == F.typeof(b)), a == b).otherwise(F.lit(False)) if floats is None else F.abs(a - b) < (EPSILON32 if floats == "float" else EPSILON64)
 
 
 def not_equal(a, b, floats: str | None = None) -> Column:
     return ~equal(a, b, floats)
 
 
+def ordered(a: Column, b: Column, test) -> Column:
+    """Only numbers have an order: false for all else, whatever it holds."""
+    return F.when(numbers(a, b), test(a, b)).otherwise(F.lit(False))
+
+
 def greater_than(a, b) -> Column:
-    return col(a) > col(b)
+    return ordered(col(a), col(b), lambda x, y: x > y)
 
 
 def greater_than_or_equal(a, b) -> Column:
-    return col(a) >= col(b)
+    return ordered(col(a), col(b), lambda x, y: x >= y)
 
 
 def less_than(a, b) -> Column:
-    return col(a) < col(b)
+    return ordered(col(a), col(b), lambda x, y: x < y)
 
 
 def less_than_or_equal(a, b) -> Column:
-    return col(a) <= col(b)
+    return ordered(col(a), col(b), lambda x, y: x <= y)
 
 
 # boolean logic

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .order import merged, saved
 
@@ -56,6 +57,43 @@ def with_retries(df: DataFrame, f: Callable, schema: str, max_retries: int, base
     return df.mapInPandas(run, schema)
 
 
+def retried(df: DataFrame, f: Callable, schema: str, max_retries: int, base_delay_ms: int = 0) -> dict[str, DataFrame]:
+    """out: what f makes of pandas batches; error: the rows for which the last attempt failed, with its message.
+
+    A batch that fails is tried again row by row, so a bad row costs no other one. All is written once, then split.
+    """
+    made, given = T.StructType.fromDDL(schema), df.schema
+    both = T.StructType([T.StructField(f"_o_{x.name}", x.dataType) for x in made] + [T.StructField(f"_i_{x.name}", x.dataType) for x in given] + [T.StructField("_error", T.StringType())])
+
+    def filled(part, prefix, error):
+        part = part.rename(columns=lambda c: prefix + c).reset_index(drop=True)
+        return part.assign(_error=error).reindex(columns=both.names).astype({c: object for c in both.names if c not in part.columns}).replace({float("nan"): None})
+
+    def attempts(rows):
+        for attempt in range(max_retries + 1):
+            try:
+                return f(rows), None
+            except Exception as e:
+                last = e
+                if attempt < max_retries:
+                    time.sleep(base_delay_ms * 2**attempt / 1000)
+        return None, str(last) or type(last).__name__
+
+    def run(batches):
+        for batch in batches:
+            try:
+                yield filled(f(batch), "_o_", None)
+            except Exception:
+                for i in range(len(batch)):
+                    row = batch.iloc[i : i + 1]
+                    out, error = attempts(row)
+                    yield filled(out, "_o_", None) if error is None else filled(row, "_i_", error)
+
+    rows = saved(df.mapInPandas(run, both))
+    out = rows.filter("_error is null").select(*[F.col(f"_o_{x.name}").alias(x.name) for x in made])
+    return {"out": out, "error": rows.filter("_error is not null").select(*[F.col(f"_i_{x.name}").alias(x.name) for x in given], F.col("_error").alias("error"))}
+
+
 def retry(action: Callable, max_retries: int, base_delay_ms: int = 0):
     """action() on the driver, as with_retries()."""
     for attempt in range(max_retries + 1):

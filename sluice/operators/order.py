@@ -76,11 +76,23 @@ def sample(df: DataFrame, every: int, order_by: list[str], partition_by: list[st
     return positioned(df, order_by, partition_by).filter((F.col(POSITION) + 1) % every == 0).drop(POSITION)
 
 
-def previous(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
-    """df with position, and the row before in a struct `previous` (NULL for the first)."""
+def neighbour(df: DataFrame, columns: list[str], order_by: list[str], step: int, name: str) -> DataFrame:
+    """df with position, and the row `step` before (after, if negative) in a struct, NULL where there is none."""
     rows = saved(positioned(df, order_by))
-    before = rows.select((F.col(POSITION) + 1).alias("_next"), F.struct(*columns).alias("previous"))
-    return rows.join(before, rows[POSITION] == before["_next"], "left").drop("_next")
+    other = rows.select((F.col(POSITION) + step).alias("_next"), F.struct(*columns).alias(name))
+    return rows.join(other, rows[POSITION] == other["_next"], "left").drop("_next")
+
+
+def running_max(df: DataFrame, value: str, order_by: list[str], partition_by: list[str] | None = None, name: str = "max") -> DataFrame:
+    """The largest value of the rows before each. Without keys: maxima within partitions, and the partitions' maxima before them."""
+    if partition_by:
+        return df.withColumn(name, F.max(value).over(W.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)))
+    rows = partitioned(df, order_by)
+    tops = rows.groupBy("_part").agg(F.max(value).alias("_m"))
+    before = tops.select(F.col("_part").alias("_p"), F.max("_m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    w = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    out = rows.withColumn(name, F.max(value).over(w)).join(before, F.col("_part") == F.col("_p"))
+    return out.withColumn(name, F.greatest(name, "_before")).drop("_part", "_place", "_p", "_before")
 
 
 def distinct_until_changed(df: DataFrame, columns: list[str], order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:
@@ -89,7 +101,7 @@ def distinct_until_changed(df: DataFrame, columns: list[str], order_by: list[str
         w = W.partitionBy(*partition_by).orderBy(*order_by)
         same = F.lag(F.struct(*columns)).over(w).eqNullSafe(F.struct(*columns))
         return df.withColumn("_same", same).filter(~F.col("_same")).drop("_same")
-    rows = previous(df, columns, order_by)
+    rows = neighbour(df, columns, order_by, 1, "previous")
     return rows.filter((F.col(POSITION) == 0) | ~F.col("previous").eqNullSafe(F.struct(*columns))).select(df.columns)
 
 
@@ -169,10 +181,14 @@ def until_signal(df: DataFrame, signals: DataFrame, order_column: str) -> DataFr
     return df.join(F.broadcast(first_), F.lit(True)).filter(F.col("_signal").isNull() | (F.col(order_column) < F.col("_signal"))).drop("_signal")
 
 
-def skipping_signals(df: DataFrame, signals: DataFrame, order_column: str, partition_by: list[str]) -> DataFrame:
-    """Without the first row after each signal, for each key; signals before the next row count once."""
-    keys = [F.col(c) for c in partition_by]
+def skipping_signals(df: DataFrame, signals: DataFrame, order_column: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Without the first row after each signal, for each key if keys are given; signals before the next row count once."""
+    keys = [F.col(c) for c in partition_by or []]
     rows = df.select(*keys, F.col(order_column).alias("_o"), F.lit(1).alias("_kind"), F.struct(*df.columns).alias("_row"))
     marks = signals.select(*keys, F.col(order_column).alias("_o"), F.lit(0).alias("_kind")).withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
-    w = W.partitionBy(*partition_by).orderBy("_o", "_kind")
-    return rows.unionByName(marks).withColumn("_after", F.lag("_kind").over(w)).filter((F.col("_kind") == 1) & (F.coalesce("_after", F.lit(1)) == 1)).select("_row.*")
+    both = rows.unionByName(marks)
+    if partition_by:
+        both = both.withColumn("_after", F.lag("_kind").over(W.partitionBy(*partition_by).orderBy("_o", "_kind")))
+    else:
+        both = neighbour(both, ["_kind"], ["_o", "_kind"], 1, "_before").withColumn("_after", F.col("_before._kind"))
+    return both.filter((F.col("_kind") == 1) & (F.coalesce("_after", F.lit(1)) == 1)).select("_row.*")

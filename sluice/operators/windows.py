@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def _ms(time: str) -> Column:
     return F.col(time).cast("long")
@@ -34,9 +36,8 @@ def session(df: DataFrame, time: str, gap: int, keys: list[str] | None = None, *
 
 
 def with_watermark(df: DataFrame, time: str, order_by: list[str], partition_by: list[str] | None = None, name: str = "watermark") -> DataFrame:
-    """The largest event time before each row in arrival order, for each key."""
-    w = W.partitionBy(*(partition_by or [])).orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn(name, F.max(time).over(w))
+    """The largest event time before each row in arrival order, for each key if keys are given."""
+    return order.running_max(df, time, order_by, partition_by, name)
 
 
 def injected_watermark(df: DataFrame, time: str) -> DataFrame:
@@ -57,20 +58,24 @@ def split_late_session(df: DataFrame, time: str, watermark: str = "watermark") -
     return {"out": df.filter(~late), "late": df.filter(late)}
 
 
-def debounced(df: DataFrame, time: str, delay: int, keys: list[str], order_by: list[str]) -> DataFrame:
-    """Rows that no other of their key follows within `delay`."""
+def debounced(df: DataFrame, time: str, delay: int, keys: list[str] | None, order_by: list[str]) -> DataFrame:
+    """Rows that no other (of their key, if keys are given) follows within `delay`."""
+    if not keys:
+        rows = order.neighbour(df, [time], order_by, -1, "_following")
+        quiet = F.col(f"_following.{time}").cast("long") - _ms(time)
+        return rows.filter(quiet.isNull() | (quiet >= delay)).select(df.columns)
     w = W.partitionBy(*keys).orderBy(*order_by)
     quiet = F.lead(_ms(time)).over(w) - _ms(time)
     return df.withColumn("_quiet", quiet).filter(F.col("_quiet").isNull() | (F.col("_quiet") >= delay)).drop("_quiet")
 
 
-def throttled(df: DataFrame, time: str, period: int, keys: list[str]) -> DataFrame:
-    """The first row of each key, then the first at least `period` after the last one kept.
+def throttled(df: DataFrame, time: str, period: int, keys: list[str], ties: list[str] | None = None) -> DataFrame:
+    """The first row of each key, then the first at least `period` after the last one kept; `ties` orders rows of one time.
 
     What is kept depends on what was kept before, so each key is a fold over its times in order; rows are streamed
     through sorted partitions, and no key is gathered.
     """
-    rows = df.withColumn("_t", _ms(time)).withColumn("_key", F.struct(*keys)).repartition(*keys).sortWithinPartitions(*keys, "_t")
+    rows = df.withColumn("_t", _ms(time)).withColumn("_key", F.struct(*keys)).repartition(*keys).sortWithinPartitions(*keys, "_t", *(ties or []))
 
     def fold(batches):
         key, last = None, None
@@ -89,8 +94,12 @@ def throttled(df: DataFrame, time: str, period: int, keys: list[str]) -> DataFra
     return rows.mapInArrow(fold, rows.schema).drop("_t", "_key")
 
 
-def within_timeout(df: DataFrame, time: str, timeout: int, keys: list[str], order_by: list[str]) -> DataFrame:
-    """Rows of each key before its first gap longer than `timeout`."""
+def within_timeout(df: DataFrame, time: str, timeout: int, keys: list[str] | None, order_by: list[str]) -> DataFrame:
+    """Rows (of each key, if keys are given) before the first gap longer than `timeout`."""
+    if not keys:
+        rows = order.saved(order.neighbour(df, [time], order_by, 1, "_before"))
+        end = rows.filter(_ms(time) - F.col(f"_before.{time}").cast("long") > timeout).agg(F.min(order.POSITION).alias("_end"))
+        return rows.join(F.broadcast(end), F.lit(True)).filter(F.col("_end").isNull() | (F.col(order.POSITION) < F.col("_end"))).select(df.columns)
     w = W.partitionBy(*keys).orderBy(*order_by)
     gap = F.coalesce((_ms(time) - F.lag(_ms(time)).over(w) > timeout).cast("int"), F.lit(0))
     rows = df.withColumn("_gap", gap)

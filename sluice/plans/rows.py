@@ -8,6 +8,7 @@ from ..operators import aggregates, control, joins, order, routing, windows
 from ..sources import tables
 from .catalog import query
 from .functions import table
+from . import sharding
 from .graph import Graph
 
 
@@ -321,16 +322,52 @@ def win_debounce(spark, sf_dir):
     return windows.debounced(events(spark, sf_dir), "ms", 600_000, ["user_id"], ["ms", "event_id"]).select("event_id")
 
 
-@query(EVENTS + ", d AS (SELECT DISTINCT user_id, ms FROM e), f AS (SELECT a.user_id, a.ms, (SELECT min(b.ms) FROM d b WHERE b.user_id = a.user_id AND b.ms >= a.ms + 86400000) AS nxt FROM d a), r AS (SELECT user_id, min(ms) AS ms FROM d GROUP BY 1) SELECT user_id, ms FROM r")
-def win_throttle_first(spark, sf_dir):
-    kept = windows.throttled(events(spark, sf_dir), "ms", 86_400_000, ["user_id"])
-    return kept.groupBy("user_id").agg(F.min("ms").alias("ms"))
+@query(EVENTS.replace("WITH", "WITH RECURSIVE") + """, d AS (SELECT user_id, ms, min(event_id) AS event_id FROM e GROUP BY 1, 2),
+  f AS (SELECT user_id, ms, min(ms) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 3600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM d),
+  r AS (SELECT user_id, min(ms) AS ms FROM d GROUP BY 1 UNION ALL SELECT r.user_id, f.later FROM r JOIN f ON r.user_id = f.user_id AND r.ms = f.ms WHERE f.later IS NOT NULL)
+SELECT d.event_id, d.user_id, d.ms FROM r JOIN d ON r.user_id = d.user_id AND r.ms = d.ms""")
+def win_throttle(spark, sf_dir):
+    return windows.throttled(events(spark, sf_dir), "ms", 3_600_000, ["user_id"], ["event_id"]).select("event_id", "user_id", "ms")
 
 
-@query()
-def win_throttle(spark, sf_dir):
-    """Each row kept depends on the one kept before; held against a loop in the tests."""
-    return windows.throttled(events(spark, sf_dir), "ms", 3_600_000, ["user_id"]).select("event_id", "user_id", "ms")
+@query(EVENTS + ", w AS (SELECT *, max(ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM e) SELECT event_id, CASE WHEN coalesce(ms // 3600000 * 3600000 + 3600000 <= wm, false) THEN 'late' ELSE 'out' END AS route FROM w")
+def win_late_all(spark, sf_dir):
+    """One watermark for all rows."""
+    return tagged(windows.split_late(windows.with_watermark(events(spark, sf_dir), "ms", ["event_id"]), "ms", 3_600_000)).select("event_id", "route")
+
+
+@query(EVENTS + ", w AS (SELECT *, lead(ms) OVER (ORDER BY ms, event_id) - ms AS q FROM e) SELECT event_id FROM w WHERE q IS NULL OR q >= 300000")
+def win_debounce_all(spark, sf_dir):
+    return windows.debounced(events(spark, sf_dir), "ms", 300_000, None, ["ms", "event_id"]).select("event_id")
+
+
+@query(EVENTS + ", g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (ORDER BY ms, event_id) > 1200000 THEN 1 ELSE 0 END AS gap FROM e), s AS (SELECT *, max(gap) OVER (ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS ended FROM g) SELECT event_id FROM s WHERE ended = 0")
+def win_timeout_all(spark, sf_dir):
+    return windows.within_timeout(events(spark, sf_dir), "ms", 1_200_000, None, ["ms", "event_id"]).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 <> 0 AND (event_id - 1) % 7 <> 0 OR event_id % 7 <> 0 AND event_id = 1 AND NOT EXISTS (SELECT 1 FROM events WHERE event_id = 0)")
+def ctl_continue_all(spark, sf_dir):
+    d = events(spark, sf_dir).select("event_id")
+    return order.skipping_signals(d.filter("event_id % 7 <> 0"), d.filter("event_id % 7 = 0"), "event_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'error' ELSE 'out' END AS route FROM part")
+def ctl_retried(spark, sf_dir):
+    def f(batch):
+        if (batch["p_partkey"] % 5 == 0).any():
+            raise ValueError("fifth")
+        return batch[["p_partkey"]]
+
+    routes = control.retried(table(spark, sf_dir, "part").select("p_partkey"), f, "p_partkey bigint", 1)
+    return tagged({k: df.select("p_partkey") for k, df in routes.items()})
+
+
+@query("SELECT c_custkey FROM customer")
+def shard_all(spark, sf_dir):
+    """Every key is owned by one shard."""
+    d = table(spark, sf_dir, "customer").select("c_custkey")
+    return order.merged([sharding.owned(d, ["c_custkey"], i, 4) for i in range(4)])
 
 
 @query(EVENTS + ", g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) > 86400000 THEN 1 ELSE 0 END AS gap FROM e), s AS (SELECT *, max(gap) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS ended FROM g) SELECT event_id FROM s WHERE ended = 0")

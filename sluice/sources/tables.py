@@ -24,9 +24,13 @@ def number_range(spark: SparkSession, start, end, step=1) -> DataFrame:
 
 
 def timer(spark: SparkSession, interval_ms: int) -> DataFrame:
-    """A stream of ticks, milliseconds in `tick`."""
-    rate = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("startTimestamp", 0).option("advanceMillisPerBatch", interval_ms)
-    return rate.load().select(F.unix_millis("timestamp").alias("tick"))
+    """A stream of wall-clock ticks, milliseconds in `tick`, one each interval from the stream's start on."""
+    if interval_ms <= 0:
+        raise ValueError("interval must be above 0")
+    per_second = max(1, math.ceil(1000 / interval_ms))
+    passed = lambda i: F.floor(i * 1000 / per_second / interval_ms)
+    rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return rows.filter(passed(F.col("value")) > passed(F.col("value") - 1)).select(F.unix_millis("timestamp").alias("tick"))
 
 
 def constants(spark: SparkSession, rows: list, schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ from sluice.functions import strings as s
 from sluice.functions import time as t
 from sluice.functions import types as ty
 from sluice.operators import control, joins, order, routing, windows
-from sluice.plans import mermaid
+from sluice.plans import mermaid, sharding
 from sluice.plans.graph import Graph, GraphError, plan_recompute
 from sluice.sources import tables
 from sluice.streaming import progress
@@ -29,6 +29,13 @@ def test_scalars(spark):
     assert one(spark, n.absolute(F.lit(-(2**63))), n.absolute(F.lit(-5))) == (None, 5)
 
 
+def test_comparisons(spark):
+    x = F.lit
+    assert one(spark, n.greater_than(x("b"), x("a")), n.less_than(x("a"), x(1)), n.greater_than(x(2), x(1.5)), n.equal(x("x"), x(1)), n.not_equal(x("x"), x(1)), n.equal(x("a"), x("a")), n.equal(x(1), x(1.0))) == (False, False, True, False, True, True, True)
+    plan = spark.range(3).filter(n.greater_than("id", 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "typeof" not in plan and "CASE" not in plan
+
+
 def test_strings(spark):
     x = lambda v: F.lit(v)
     assert one(spark, s.length(x("héllo")), s.index_of(x("héllo"), "l"), s.last_index_of(x("héllo"), "l"), s.index_of(x("abc"), "z")) == (6, 3, 4, -1)
@@ -112,6 +119,40 @@ def test_control(spark):
     assert v.write("a", 1) == v.read("a") == 1
 
 
+def test_retried_sends_bad_rows_to_error(spark):
+    def f(batch):
+        return batch.assign(y=[10 // v for v in batch["v"]])[["i", "y"]]
+
+    d = spark.createDataFrame([(1, 5), (2, 0), (3, 2)], "i int, v int")
+    routes = control.retried(d, f, "i int, y int", 1)
+    assert sorted(tuple(r) for r in routes["out"].collect()) == [(1, 2), (3, 5)]
+    assert [(r.i, r.v, bool(r.error)) for r in routes["error"].collect()] == [(2, 0, True)]
+    assert not control.retried(d.limit(0), f, "i int, y int", 1)["out"].count()
+
+
+def test_shards(spark):
+    d = spark.createDataFrame([(k,) for k in (None, *range(50))], "k int")
+    parts = [{r.k for r in sharding.owned(d, ["k"], i, 3).collect()} for i in range(3)]
+    assert sum(map(len, parts)) == 51 and None in parts[0]
+    moves = {r.k: (r.from_shard, r.to_shard) for r in sharding.migration(d, ["k"], 3, 4).collect()}
+    assert all(k in parts[a] and a != b and b < 4 for k, (a, b) in moves.items()) and len(moves) < 51
+
+
+def test_timer(spark):
+    with pytest.raises(ValueError):
+        tables.timer(spark, 0)
+    q = tables.timer(spark, 200).writeStream.format("memory").queryName("t_ticks").start()
+    try:
+        for _ in range(60):
+            q.processAllAvailable()
+            if spark.table("t_ticks").count() > 3:
+                break
+    finally:
+        q.stop()
+    ticks = sorted(r.tick for r in spark.table("t_ticks").collect())
+    assert len(ticks) > 3 and {b - a for a, b in zip(ticks, ticks[1:])} == {200}
+
+
 def test_sources(spark):
     assert [r.value for r in tables.number_range(spark, 5, 0, -2).collect()] == [5, 3, 1]
     with pytest.raises(ValueError):
@@ -166,6 +207,12 @@ def test_live_versions(spark, tmp_path):
     assert sorted(zip(out.value, out.version, strict=True)) == [(100, 1), (100, 1), (200, 2)]
 
 
+def test_live_counts(spark, tmp_path):
+    rows = [("a", 1, 1), ("a", 2, 1), ("b", 3, 1), ("a", 4, -1)]
+    out = streamed(spark, tmp_path, rows, "key string, time long, diff long", lambda d: live.stateful(d, "key", live.Counted(), "key string, count bigint, time bigint, diff bigint"))
+    assert sorted(zip(out.time, out["count"], strict=True)) == [(1, 1), (2, 2), (3, 1), (4, 1)]
+
+
 def test_live_throttle_and_late(spark, tmp_path):
     rows = [("k", x, x) for x in (0, 5, 10, 12, 25)]
     out = streamed(spark, tmp_path, rows, "key string, time long, value long", lambda d: live.stateful(d, "key", live.Throttled(10), "key string, time bigint, value bigint"))
