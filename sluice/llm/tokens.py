@@ -32,8 +32,9 @@ class Encoder:
     A tokenizer that splits words from white space and from punctuation lets no token cross either, so a text's ids are
     those of its words, one after the other. Words recur, so each is encoded once and kept, found again by a 64-bit hash
     and 32 bits of length, byte sum and end bytes. Text is cut at ASCII white space, a full stop or comma behind an ASCII
-    letter at the end is a word of its own, and ASCII words are lower-cased, as the tokenizer does itself. For a
-    tokenizer without these properties take `parts=False`: it gets whole texts.
+    letter at the end is a word of its own, and ASCII words are lower-cased, as the tokenizer does itself; those that may
+    hold an added token, which has its case, aren't. For a tokenizer without these properties take `parts=False`: it
+    gets whole texts.
     """
 
     def __init__(self, path: str, parts: bool = True):
@@ -45,6 +46,8 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
+        self.cased = np.arange(256) >= 128  # bytes whose words keep their case
+        self.cased[[x.content.encode()[0] for x in self.tokenizer.get_added_tokens_decoder().values()]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -129,8 +132,8 @@ class Encoder:
         before, last = data[np.maximum(e - 2, s)], data[e - 1]
         stop = ((last == 46) | (last == 44)) & (e - s > 1) & ((before | 32) >= 97) & ((before | 32) <= 122)
         wide = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
-        np.cumsum(data >= 128, out=wide[1:])
-        kept = wide[e] > wide[s]  # words with other than ASCII letters keep their case
+        np.cumsum(self.cased[data], out=wide[1:])
+        kept = wide[e] > wide[s]
         edges = np.zeros(len(data) + 1, np.int8)
         edges[s[kept]] += 1
         edges[e[kept]] -= 1

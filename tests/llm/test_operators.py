@@ -272,7 +272,7 @@ def test_encoder_matches_the_library():
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    odd = ["don't it'sx it's. İ, ẞ. ΣΑΣ. Årm J̌o x́, ́.", None, "", "y" * 5000 + ".", "a\x1cb \x85. q w. \x0b\x0c z", "中文。中. ǅ. ... ., , ."]
+    odd = ["don't it'sx it's. İ, ẞ. ΣΑΣ. Årm J̌o x́, ́.", None, "", "y" * 5000 + ".", "a\x1cb \x85. q w. \x0b\x0c z", "中文。中. ǅ. ... ., , .", "<|ENDOFTEXT|> a<|endoftext|>. <|StartOfText|>, <B>."]
     ids, n = tokens.Encoder(tokens.default_tokenizer()).encode(pa.array(odd + TEXTS))
     want = [x.ids for x in Tokenizer.from_file(tokens.default_tokenizer()).encode_batch([x or "" for x in odd + TEXTS], add_special_tokens=False)]
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
