@@ -107,17 +107,19 @@ class Encoder:
         other, good = [np.flatnonzero(~plain)], np.flatnonzero(plain)
         rows = [good[i : i + JOINED] for i in range(0, len(good), JOINED)]
         ids, lengths = self._encode([" ".join(names[i] for i in row) for row in rows])
-        at = 0
+        at, known = 0, []
         for row, n in zip(rows, lengths.tolist(), strict=True):
             part = ids[at : at + n]
             at += n
             last = np.flatnonzero(self.ends[part]) + 1
             if len(last) == len(row) and last[-1] == n:
-                self._keep(h[row], c[row], part, np.diff(last, prepend=0))
+                known.append((row, part, np.diff(last, prepend=0)))
             else:
                 other.append(row)
         if len(rest := np.concatenate(other)):
-            self._keep(h[rest], c[rest], *self._encode([names[i] for i in rest]))
+            known.append((rest, *self._encode([names[i] for i in rest])))
+        row, ids, lengths = map(np.concatenate, zip(*known, strict=True))
+        self._keep(h[row], c[row], ids, lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many belong to each text; a null text has none."""
