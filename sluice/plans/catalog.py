@@ -27,4 +27,4 @@ def slice_returned_revenue(spark, sf_dir):
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum(amount.cast("decimal(18,4)")).cast("double").alias("revenue"), F.count("*").alias("n"))
 
 
-from . import functions, rows  # noqa: E402,F401  they register themselves
+from . import functions, rows, streams  # noqa: E402,F401  they register themselves

@@ -375,6 +375,26 @@ def win_timeout(spark, sf_dir):
     return windows.within_timeout(events(spark, sf_dir), "ms", 86_400_000, ["user_id"], ["ms", "event_id"]).select("event_id")
 
 
+@query(EVENTS + ", w AS (SELECT *, max(ms) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM e) SELECT event_id, CASE WHEN coalesce(ms < wm, false) THEN 'late' ELSE 'out' END AS route FROM w")
+def win_late_session(spark, sf_dir):
+    d = windows.with_watermark(events(spark, sf_dir), "ms", ["event_id"], ["user_id"])
+    return tagged(windows.split_late_session(d, "ms")).select("event_id", "route")
+
+
+@query("WITH s AS (SELECT n_regionkey, n_nationkey, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS t FROM nation) SELECT n_regionkey, list_prepend(CAST(0 AS BIGINT), list(CAST(t AS BIGINT) ORDER BY n_nationkey)) AS scan FROM s GROUP BY 1")
+def ord_scan_fold(spark, sf_dir):
+    """A running fold by any function, for each key."""
+    return order.scan(table(spark, sf_dir, "nation"), lambda a, row: a + row["n_nationkey"], 0, ["n_nationkey"], ["n_regionkey"], "bigint")
+
+
+@query("SELECT r.event_id, w.value, CASE WHEN w.name IS NULL THEN 'error' ELSE 'out' END AS route FROM events r LEFT JOIN (SELECT event_type AS name, max_by(user_id, event_id) AS value FROM events WHERE event_type < 'm' GROUP BY 1) w ON r.event_type = w.name")
+def ctl_lookup(spark, sf_dir):
+    d = events(spark, sf_dir).select("event_id", F.col("event_type").alias("name"), "user_id")
+    writes = d.filter("name < 'm'").select("name", F.col("user_id").alias("value"), F.col("event_id").alias("seq"))
+    routes = control.Variables.lookup(d.select("event_id", "name"), writes)
+    return tagged({"out": routes["out"].select("event_id", "value"), "error": routes["error"].select("event_id", F.lit(None).cast("long").alias("value"))})
+
+
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def state_versioned(spark, sf_dir):
     return windows.versioned(events(spark, sf_dir), ["user_id"], "event_id").select("user_id", "event_id")

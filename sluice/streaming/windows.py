@@ -134,6 +134,34 @@ class Debounced(_Keyed):
         yield pd.DataFrame([(key[0], time, value)], columns=["key", "time", "value"])
 
 
+class TimedOut(_Keyed):
+    """Rows of each key until `timeout` ms of processing time pass without one: then a row with `error` set, and nothing after it."""
+
+    schema = "timer bigint, ended boolean"
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802,N803
+        now, out = self.get(), []
+        for batch in rows:
+            out += zip(batch["time"].tolist(), batch["value"].tolist(), strict=True)
+        if now is not None and now[1]:
+            out = []
+        else:
+            if now is not None:
+                self.handle.deleteTimer(now[0])
+            at = timerValues.getCurrentProcessingTimeInMs() + self.timeout
+            self.handle.registerTimer(at)
+            self.state.update((at, False))
+        yield pd.DataFrame([(key[0], int(t), int(v), None) for t, v in out], columns=["key", "time", "value", "error"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802,N803
+        at, _ = self.get()
+        self.state.update((at, True))
+        yield pd.DataFrame([(key[0], at, None, f"no row in {self.timeout} ms")], columns=["key", "time", "value", "error"]).astype({"value": "Int64"})
+
+
 class LateSplit(_Keyed):
     """Rows with `late`: whether their tumbling window had ended by the largest time of their key before them."""
 

@@ -1,5 +1,7 @@
 """Literal cases of functions and operators, plans, flowcharts and streams."""
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from sluice.operators import control, joins, order, routing, windows
 from sluice.plans import mermaid, sharding
 from sluice.plans.graph import Graph, GraphError, plan_recompute
 from sluice.sources import tables
-from sluice.streaming import progress
+from sluice.streaming import metrics, progress
 from sluice.streaming import windows as live
 
 
@@ -219,6 +221,52 @@ def test_live_throttle_and_late(spark, tmp_path):
     assert sorted(out.time) == [0, 10, 25]
 
 
+def test_live_late_rows(spark, tmp_path):
+    rows = [("k", x, x) for x in (5, 25, 7, 21, 9)]
+    out = streamed(spark, tmp_path, rows, "key string, time long, value long", lambda d: live.stateful(d, "key", live.LateSplit(10), "key string, time bigint, value bigint, late boolean"))
+    assert {t for t, late in zip(out.time, out.late, strict=True) if late} == {7, 9}
+
+
+def test_live_timeout(spark, tmp_path):
+    def put(i, rows):
+        spark.createDataFrame(rows, "key string, time long, value long").coalesce(1).write.parquet(str(tmp_path / f"in/n={i}"))
+
+    put(0, [("a", 1, 10), ("b", 2, 20)])
+    source = spark.readStream.schema("key string, time long, value long, n int").parquet(str(tmp_path / "in")).drop("n")
+    made = live.stateful(source, "key", live.TimedOut(500), "key string, time bigint, value bigint, error string", "ProcessingTime")
+    q = made.writeStream.format("memory").queryName("t_timeout").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        seen = lambda: spark.table("t_timeout").collect()
+        for _ in range(200):
+            if sum(r.error is not None for r in seen()) == 2:
+                break
+            time.sleep(0.2)
+        put(1, [("a", 3, 30), ("c", 4, 40)])
+        for _ in range(200):
+            if any(r.key == "c" for r in seen()):
+                break
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    rows = seen()
+    assert sorted((r.key, r.value) for r in rows if r.error is None) == [("a", 10), ("b", 20), ("c", 40)]
+    assert {"a", "b"} <= {r.key for r in rows if r.error is not None}
+
+
+def test_metrics(spark, tmp_path):
+    rows = [(pd.Timestamp(x, unit="ms").to_pydatetime(), 1) for x in (100, 500, 1100)]
+    with metrics.Metrics.of(spark) as m:
+        streamed(spark, tmp_path, rows, "ts timestamp, v int", lambda d: d.filter("v > 0"))
+        for _ in range(50):
+            if m.values.get("t_out", {}).get("rows_in"):
+                break
+            time.sleep(0.1)
+    assert m.values["t_out"]["rows_in"] == 3 and 'stream_rows_in_total{query="t_out"} 3' in m.text()
+    df, seen = metrics.observed(spark.range(10), "t_seen", n=F.count("*"), top=F.max("id"))
+    assert df.filter("id > 5").count() == 4 and seen.get == {"n": 10, "top": 9}
+    assert metrics.health(spark)["alive"] and metrics.health(spark)["executors"] == 1
+
+
 def test_live_window(spark, tmp_path):
     rows = [(pd.Timestamp(x, unit="ms").to_pydatetime(), 1) for x in (100, 500, 1100)]
     out = streamed(spark, tmp_path, rows, "ts timestamp, v int", lambda d: live.tumbling(d, "ts", "1 second", "0 seconds", n=F.count("*")), "complete")
