@@ -70,7 +70,7 @@ b AS (SELECT c.source AS b_source, list(c.line) AS bad FROM c JOIN t ON c.source
       WHERE c.k >= 10 AND c.k > 0.05 * t.pages GROUP BY c.source),
 j AS (SELECT doc_id, all_lines, coalesce(bad, []) AS bad FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.b_source),
 f AS (SELECT doc_id, all_lines, list_filter(all_lines, lambda x: NOT list_contains(bad, x)) AS good FROM j)
-SELECT doc_id, array_to_string(good, chr(10)) AS text, CAST(len(all_lines) AS BIGINT) AS n_lines,
-       CAST(len(all_lines) - len(good) AS BIGINT) AS n_removed FROM f
+SELECT doc_id, array_to_string(good, chr(10)) AS text, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(all_lines) - len(good), 0) AS BIGINT) AS n_removed FROM f
 """
 }

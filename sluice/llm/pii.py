@@ -22,6 +22,7 @@ from functools import cache, lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, map_arrow
 
@@ -205,7 +206,7 @@ def pseudonymised(docs: DataFrame, key: str, reverse: bool = False) -> DataFrame
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(texts, pa.string()), pa.array(found, kinds)], ["doc", "text", name])
 
-    schema = f"doc {keep.schema['doc'].dataType.simpleString()}, text string, {name} array<struct<kind:string,start:bigint,end:bigint>>"
+    schema = T.StructType([keep.schema["doc"], *T.StructType.fromDDL(f"text string, {name} array<struct<kind:string,start:bigint,end:bigint>>")])
     out = map_arrow(keep, change, schema)
     return out.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], F.col(name).alias("found"))
 

@@ -293,6 +293,15 @@ def test_op6(spark, sf):
     assert bag((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in run(spark, sf, "op6_line_dedup")) == bag(want)
 
 
+def test_op6_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, text, n_lines, n_removed FROM ({queries.ORACLE['op6_line_dedup']})").fetchall()
+    assert bag((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in run(spark, sf, "op6_line_dedup")) == bag(want)
+
+
 def test_line_dedup_by_host(spark):
     rows = [(i, f"menu\nonly {i}", "a") for i in range(20)] + [(50, "menu\nx", "b")]
     out = {r.doc_id: r.text for r in line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, host string"), F.col("host")).collect()}
@@ -381,6 +390,12 @@ def test_op10(spark, sf):
     assert all(got[j]["text"] == ROWS[j][1] for j in range(20))
 
 
+def test_pseudonyms_beside_odd_columns(spark):
+    d = spark.createDataFrame([("1999-12-31", 1, "x"), (None, None, None)], "text string, `a b: c` int, `found,` string")
+    out = sorted(map(tuple, pii.pseudonymised(d, "k").select("`a b: c`", "`found,`", F.size("found")).collect()), key=str)
+    assert out == [(1, "x", 1), (None, None, 0)]
+
+
 def test_pseudonyms_keep_formats_and_reverse():
     x = "A.b+12@mail5.example.com, 4111-1111-1111-1111, +1 (743) 555-3824, 97.51.17.173, GB82 WEST 1234 5698 7654 32, 1999-12-31, 31/12/1999, 123-45-6789"
     new, found = pii.pseudonymise(x, "k")
