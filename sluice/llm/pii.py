@@ -2,11 +2,16 @@
 
 Values are found by shape and then validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), dates (days that
 exist), IPv4 addresses (octets to 255), telephone numbers (10 to 15 digits in groups), social security numbers (area,
-group and serial in range), e-mail addresses. What isn't valid is left alone. Each value is a number in its format's
+group and serial in range), e-mail addresses. What isn't valid is left alone, but its groups of digits are tried again
+alone and with those that follow, so a neighbouring number hides nothing. Values whose shape or check is sure (all but
+telephone numbers and cards in odd groups) go first, others are sought between them. No telephone number begins or ends
+inside what has another kind's shape and isn't valid, save with a plus or a bracket. It ends where North America's
+grouping, or one separator all through, says so; else it takes in up to four groups of at most 15 digits, be they its own
+or not. Each value is a number in its format's
 domain (days, 32 bits, digits of one length, letters and digits by place), which a Feistel network under the key permutes
 by cycle walking; the outcome has the same format, with its check digits worked out anew, and its separators and case.
 The permutation has no state: any task gives the same pseudonym, no table of values is kept or joined, and the key's
-holder can reverse it (`reverse=True`). A value is found again whatever its separators or case.
+holder can reverse it (`reverse=True`), save where a pseudonym and numbers beside it pass a check by chance. A value is found again whatever its separators or case.
 
 Nulls: a null text stays null, with no values. Very long texts are worked through whole, one at a time. Rows repeated
 get the same result. An empty table gives an empty result. Of columns of the input the text alone changes.
@@ -14,6 +19,7 @@ get the same result. An empty table gives an empty result. Of columns of the inp
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import re
@@ -30,16 +36,22 @@ from .common import documents, map_arrow
 DEMO_KEY = "demonstration key, not a secret"
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "phone", "card", "ssn", "date")
-PATTERN = re.compile(
+#: Shapes that a check or their punctuation makes sure. Cards stand in one group or in those printed on them.
+STRICT = re.compile(
     r"(?P<email>(?<![\w.+-])[\w+-][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
     r"|(?P<date>(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[.-][0-9]))"
-    r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9]))"
-    r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?![0-9A-Za-z]|[.-][0-9]))",
+    r"|(?P<ssn>(?<![0-9A-Za-z-])(?<!\+[0-9] )(?<!\+[0-9]{2} )(?<!\+[0-9]{3} )[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9]))"
+    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])(?:[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?:(?P=s)[0-9]{1,3})?|[0-9]{6}(?P=s)[0-9]{4,5}))(?![0-9A-Za-z]))",
     re.ASCII,
 )
+#: Digits in any groups, between the values of STRICT.
+CARD = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")
+PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])")
+LOOSE = re.compile(f"{CARD.pattern}|{PHONE.pattern}")
+#: Telephone numbers whose grouping says where they end: ten digits of North America; one separator all through.
+BOUND = re.compile(r"(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?|\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|\+?[0-9]{1,4}(?P<s>[.-])(?:[0-9]{2,4}(?P=s)){2,3}[0-9]{2,4}(?= )")
 #: Every value has one of these.
 HINT = re.compile(r"[0-9@]")
 EPOCH, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
@@ -108,9 +120,13 @@ def digits(body: str, key: str, tweak: str, reverse: bool) -> str:
     return str(permuted(int(body), 10 ** len(body), f"{key}/{tweak}", reverse)).zfill(len(body))
 
 
+def is_card(d: str) -> bool:
+    return 13 <= len(d) <= 19 and luhn(d) and len(set(d)) > 1
+
+
 def card(v: str, key: str, reverse: bool) -> str | None:
     d = digits_of(v)
-    if not luhn(d) or len(set(d)) == 1:
+    if not is_card(d):
         return None
     body = digits(d[:-1], key, "card", reverse)
     return fill(v, body + str(check_digit(body)))
@@ -139,7 +155,10 @@ def phone(v: str, key: str, reverse: bool) -> str | None:
         return None
     country = len(re.match(r"\+?([0-9]*)", v)[1]) if v[0] == "+" else 0
     country = min(country, 3, len(d) - 7)
-    return fill(v, d[:country] + digits(d[country:], key, f"phone{d[:country]}", reverse))
+    new = digits(d[country:], key, f"phone{d[:country]}", reverse)
+    while is_card(d[:country] + new) != is_card(d):  # or it would be read as a card
+        new = digits(new, key, f"phone{d[:country]}", reverse)
+    return fill(v, d[:country] + new)
 
 
 def ssn(v: str, key: str, reverse: bool) -> str | None:
@@ -174,21 +193,69 @@ def makers() -> dict:
     return {"email": email, "iban": iban, "ip": ip, "phone": phone, "card": card, "ssn": ssn, "date": date}
 
 
+def group_ends(text: str, start: int, end: int) -> list[int]:
+    """Where the groups of text[start:end] end, the last first."""
+    return [end, *[i for i in range(end - 1, start, -1) if text[i] in " .-" and text[i - 1].isalnum()]]
+
+
+def strict_values(text: str, key: str, reverse: bool) -> tuple[list, list]:
+    """(start, end, kind, pseudonym) of values found by STRICT, and the spans that have such a shape but aren't valid."""
+    values, rejected, start = [], [], 0
+    while m := STRICT.search(text, start):
+        kind, a, b = m.lastgroup, m.start(), m.end()
+        ends = [b]
+        if kind == "iban":
+            ends = group_ends(text, a, b)
+        elif kind == "card" and m["s"] and m.group().count(m["s"]) == 4:
+            ends = [a + 19, b]  # what follows four groups of four is seldom theirs
+        for end in ends:
+            if new := makers()[kind](text[a:end], key, reverse):
+                values.append((a, end, kind, new))
+                start = end
+                break
+        else:
+            rejected.append((a, b))
+            start = a + len(re.match(r"[^0-9A-Za-z]*[0-9A-Za-z]+", text[a:b])[0])  # a valid value may begin further on
+    return values, rejected
+
+
+def loose_values(text: str, begin: int, stop: int, rejected: list, key: str, reverse: bool):
+    """(start, end, kind, pseudonym) of cards in odd groups and telephone numbers in text[begin:stop]."""
+    start = begin
+    while m := LOOSE.search(text, start, stop):
+        a = m.start()
+        near = [(x, y) for x, y in rejected[bisect.bisect_left(rejected, (a - 64, 0)) : bisect.bisect_left(rejected, (m.end(), 0))]]
+        c, p = CARD.match(text, a, stop), PHONE.match(text, a, stop)
+        cards = [("card", e) for e in group_ends(text, a, c.end())] if c else []
+        cards = [(k, e) for k, e in cards if not any(x < a < y or x < e < y for x, y in near)]
+        phones = []
+        if p:
+            ends = [e for e in group_ends(text, a, p.end()) if PHONE.fullmatch(text, a, e)]
+            bound = BOUND.match(text, a, stop)
+            ends = [*([bound.end()] if bound else []), *sorted(ends, key=lambda e: bool(re.match(r"/[0-9]", text[e : e + 2])))]
+            phones = [("phone", e) for e in ends if text[a] in "+(" or not any(x <= a < y or x < e < y for x, y in near)]
+        whole = [(k, e) for k, e in cards if e == c.end() or len(digits_of(text[a:e])) > 15]
+        for kind, end in [*whole, *phones, *cards]:
+            if new := makers()[kind](text[a:end], key, reverse):
+                yield a, end, kind, new
+                start = end
+                break
+        else:
+            start = a + len(re.match(r"[^0-9]|[0-9]+", text[a : m.end()])[0])  # a valid number may begin further on
+
+
 def pseudonymise(text: str, key: str, reverse: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with all valid values permuted, and (kind, start, end) of each in the text given."""
-    out, at, found, start = [], 0, [], 0
     if not HINT.search(text):
-        return text, found
-    while m := PATTERN.search(text, start):
-        start = m.end()
-        new = makers()[m.lastgroup](m.group(), key, reverse)
-        if new is None and m.lastgroup == "phone":
-            start = m.start() + len(re.match(r"[^0-9]*[0-9]+", m.group())[0])  # a valid number may begin further on
-        if new is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            found.append((m.lastgroup, m.start(), at))
-    return ("".join([*out, text[at:]]) if found else text), found
+        return text, []
+    strict, rejected = strict_values(text, key, reverse)
+    edges = [0, *[x for a, b, _, _ in strict for x in (a, b)], len(text)]
+    values = sorted([*strict, *[v for a, b in zip(edges[::2], edges[1::2], strict=True) for v in loose_values(text, a, b, rejected, key, reverse)]])
+    out, at = [], 0
+    for a, b, _, new in values:
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in values]
 
 
 def pseudonymised(docs: DataFrame, key: str, reverse: bool = False) -> DataFrame:

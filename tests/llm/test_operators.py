@@ -406,6 +406,24 @@ def test_pseudonyms_keep_formats_and_reverse():
     assert pii.digits_of(pii.card("4111 1111 1111 1111", "k", False)) == pii.card("4111111111111111", "k", False)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("4111111111111111 123", ["4111111111111111"]), ("4111 1111 1111 1111 12/26", ["4111 1111 1111 1111"]), ("no 12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("9999 5500 0000 0000 0004 7", ["5500 0000 0000 0004"]), ("41111111 11111111 124", ["41111111 11111111"]), ("ID42 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("BE68 5390 0754 7034 PAID", ["BE68 5390 0754 7034"]), ("AC13 BE68 5390 0754 7034 PAID", ["BE68 5390 0754 7034"]), ("0049 151 2345 6789", ["0049 151 2345 6789"]),
+        ("+1 (743) 555-3824 12", ["+1 (743) 555-3824"]), ("743-555-3824 12 34", ["743-555-3824"]), ("+49-151-2345-6789 12", ["+49-151-2345-6789"]), ("+49 151 2345 6789 12/26", ["+49 151 2345 6789"]),
+        ("+49 151 2345 6789 4012 8888 8888 1881", ["+49 151 2345 6789", "4012 8888 8888 1881"]), ("+49 151 2345 6789 1234 5677", ["+49 151 2345 6789"]), ("+49 151-23-4567", ["+49 151-23-4567"]),
+        ("4111 1111 1111 1112", []), ("12 4111 1111 1111 1112", []), ("GB82 WEST 1234 5698 7654 33", []), ("300.100.100.100 1999-02-31", []),
+    ],
+)
+def test_values_beside_other_numbers(text, want):
+    new, found = pii.pseudonymise(text, "k")
+    assert [text[a:b] for _, a, b in found] == want
+    assert [new[a:b] for _, a, b in found] != want or not want
+    assert pii.pseudonymise(new, "k", reverse=True)[0] == text
+
+
 def test_kernels():
     for n in (1, 2, 3, 1000, 4097):
         assert sorted(kernels.permute(np.arange(n), n, 9)) == list(range(n))
