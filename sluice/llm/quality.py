@@ -3,7 +3,10 @@
 Features of all texts are aggregated to a KLL sketch for each language and source; those of small groups give way to the
 language's sketch, merged from its sources', and to that of all. A text fails a rule if its value lies above the upper
 fence of its group, third quartile + `reach` * interquartile range, and above the rule's floor, below which values are
-harmless anywhere: clean groups lose nothing for being compared with themselves, as a fixed share would.
+harmless anywhere: clean groups lose nothing for being compared with themselves, as a fixed share would. A source whose
+junk reaches its third quartile doesn't lift its own limit: the fence is at most the greater of that of the language (of
+all, for a language) and the one that the lower half gives, median + (1 + 2 * `reach`) * (median - first quartile), which
+is also the most for all. Over half of a source (or of all) must be alike to be taken for its style; if that is junk, it stays.
 
 Rules: symbols to a word, repeated lines among lines (three lines are added, so that short texts weigh less), words in repeated windows, capitals among characters of words, words
 equal to the one before.
@@ -99,9 +102,17 @@ def thresholds(rated: DataFrame, reach: float = REACH, own_rows: int = OWN_ROWS)
     all_ = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"])).drop("l").join(F.broadcast(merged()))  # the last has one row
 
     def limit(k: str) -> Column:
-        sketch = F.when(F.col("n") >= own_rows, F.col(k)).when(F.col("n_lang") >= own_rows, F.col(f"{k}_lang")).otherwise(F.col(f"{k}_all"))
-        q = lambda p: F.kll_sketch_get_quantile_double(sketch, F.lit(p))
-        return F.greatest(F.lit(FLOORS[k]), q(0.75) + reach * (q(0.75) - q(0.25)))
+        def fences(sketch: str) -> tuple[Column, Column]:
+            q1, q2, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(p)) for p in (0.25, 0.5, 0.75))
+            return q3 + reach * (q3 - q1), q2 + (1 + 2 * reach) * (q2 - q1)  # the same where both halves are alike
+
+        def capped(sketch: str, wider: Column) -> Column:
+            upper, lower = fences(sketch)
+            return F.least(upper, F.greatest(lower, wider))
+
+        of_all = F.least(*fences(f"{k}_all"))
+        of_lang = F.when(F.col("n_lang") >= own_rows, capped(f"{k}_lang", of_all)).otherwise(of_all)
+        return F.greatest(F.lit(FLOORS[k]), F.when(F.col("n") >= own_rows, capped(k, of_lang)).otherwise(of_lang))
 
     return all_.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*[limit(k).alias(k) for k in names]).alias("limits"))
 

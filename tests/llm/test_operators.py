@@ -329,6 +329,15 @@ def test_thresholds_follow_their_group(spark):
     assert 5 in kept and 1005 in kept and 2000 not in kept
 
 
+def test_junk_does_not_lift_its_sources_limit(spark):
+    text = lambda i, n: " ".join(f"w{i}x{j}" + ("#" if j < n else "") for j in range(40))
+    junk = [(i, text(i, 24), "en", "web") for i in range(48)]
+    clean = [(100 + i, text(100 + i, 0), "en", "web") for i in range(72)] + [(1000 + i, text(1000 + i, 0), "en", "prose") for i in range(300)]
+    for rows in (junk + clean, junk + clean[:72]):  # beside a clean source, and alone
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        assert {r.doc_id for r in quality.accepted(d).collect()} == {r[0] for r in rows[48:]}
+
+
 def test_op8(spark, sf):
     got = run(spark, sf, "op8_fingerprints")
     order = sorted(ROWS, key=lambda r: -1 if r[0] is None else r[0])
