@@ -118,6 +118,20 @@ for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JO
     query(f"WITH a AS (SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT o_custkey AS key, o_orderkey FROM orders WHERE o_custkey % 3 = 0) SELECT key, c_name, o_orderkey FROM a {_sql} b USING (key)")(joined(_how))
 
 
+def joined_whole(how):
+    def f(spark, sf_dir):
+        a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+        b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
+        return joins.join(a, b, ["key"], how)
+
+    f.__name__ = f"join_{how}_whole"
+    return f
+
+
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    query(f"SELECT key, c_name, o_orderkey FROM (SELECT c_custkey AS key, c_name FROM customer) a {_sql} (SELECT o_custkey AS key, o_orderkey FROM orders) b USING (key)")(joined_whole(_how))
+
+
 @query(EVENTS + ", x AS (SELECT user_id, ms AS t, CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END AS d FROM e) SELECT a.user_id AS user_id, CAST(sum(a.d * b.d) AS BIGINT) AS diff FROM x a JOIN x b ON a.user_id = b.user_id GROUP BY a.user_id HAVING sum(a.d * b.d) <> 0")
 def join_differential(spark, sf_dir):
     d = events(spark, sf_dir).select("user_id", F.col("ms").alias("time"), F.when(F.col("event_id") % 5 == 0, -1).otherwise(1).cast("long").alias("diff"))

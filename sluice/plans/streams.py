@@ -80,6 +80,12 @@ def stream_join(spark, sf_dir):
     return appended(live.join(a, b, ["user_id"], "ts", "other_ts", "1 day", "1 day").select("l.user_id", "event_id", "other_id"))
 
 
+@query(EVENTS + "SELECT a.user_id AS user_id, a.event_id AS event_id, b.event_id AS other_id FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.ms - b.ms) <= 86400000 WHERE a.event_id <> b.event_id")
+def stream_join_whole(spark, sf_dir):
+    a, b = source(spark, sf_dir).drop("ms"), source(spark, sf_dir).select("user_id", F.col("event_id").alias("other_id"), F.col("ts").alias("other_ts"))
+    return appended(live.join(a, b, ["user_id"], "ts", "other_ts", "1 day", "1 day").filter("event_id <> other_id").select("l.user_id", "event_id", "other_id"))
+
+
 @query(EVENTS.replace("WITH", "WITH RECURSIVE") + """, d AS (SELECT user_id, ms, min(event_id) AS event_id FROM e GROUP BY 1, 2),
   f AS (SELECT user_id, ms, min(ms) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 3600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM d),
   r AS (SELECT user_id, min(ms) AS ms FROM d GROUP BY 1 UNION ALL SELECT r.user_id, f.later FROM r JOIN f ON r.user_id = f.user_id AND r.ms = f.ms WHERE f.later IS NOT NULL)
