@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, kernels, line_dedup, mixing, near_dedup, packing, pii, quality, queries, secrets, suffix_dedup, token_files, tokens
+from sluice.llm import factors, fingerprints, kernels, line_dedup, mixing, near_dedup, packing, pii, quality, queries, secrets, suffix_dedup, token_files, tokens
 from sluice.llm.common import Workspace
 from sluice.llm.graph import components
 
@@ -87,14 +87,14 @@ def brute_repeats(texts, length, first=False):
 def test_op1(spark, sf, docs):
     want = bag((r[0], n, g, k, hashlib.sha256(b).hexdigest()) for r, (n, g, k, b) in zip(ROWS, brute_repeats(TEXTS, 400), strict=True))
     assert bag((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run(spark, sf, "op1_suffix_dedup")) == want
-    hot = suffix_dedup.without_repeats(docs, gathered=1)  # every anchor counted over all tasks
+    hot = suffix_dedup.without_repeats(docs, gathered=1)  # every group cut down to pieces of one start
     assert bag((r.doc_id, r.n_bytes, hashlib.sha256(r.kept).hexdigest()) for r in hot.collect()) == bag((x[0], x[1], x[4]) for x in want.elements())
 
 
 def test_op1_keeps_first(spark):
     texts = ["q" * 3 + "".join(random.Random(1).choice("abcdef") for _ in range(500)) + str(i) * 20 for i in range(4)] + ["z" * 700]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for gathered in (1, 20_000):
+    for gathered in (1, 2, 1000):
         got = sorted((r.doc_id, bytes(r.kept)) for r in suffix_dedup.without_repeats(d, 100, "first", gathered).collect())
         assert got == [(i, b) for i, (_, _, _, b) in enumerate(brute_repeats(texts, 100, True))]
 
@@ -107,9 +107,45 @@ def test_op1_long_text(spark):
     assert {r.doc_id: (r.n_bytes - len(r.kept)) for r in suffix_dedup.without_repeats(d).collect()} == {1: 900, 2: 900}
 
 
+def test_longest_factors():
+    rng = np.random.default_rng(4)
+    for letters, size in ((1, 40), (2, 200), (3, 300)):
+        data = rng.integers(0, letters, size).astype(np.uint8)
+        # one string with every start: distances before its end
+        suffixes = [bytes(data[i:]) for i in range(size)]
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        order = np.array(sorted(range(size), key=lambda i: suffixes[i]))
+        lcp = np.array([0] + [common(suffixes[a], suffixes[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int32)
+        for least in (1, 4):
+            previous, following = factors.longest_factors(order, lcp, least)
+            for k, i in enumerate(order):
+                want = [max((common(suffixes[i], suffixes[j]) for j in others), default=0) for others in (range(i), range(i + 1, size))]
+                for got, w in zip((previous[k], following[k]), want, strict=True):
+                    assert got == w or max(got, w) < least
+
+
+def test_induced_orders():
+    rng = np.random.default_rng(5)
+    for letters in (1, 2, 4):
+        rows = [bytes(rng.integers(0, letters, rng.integers(3, 30)).astype(np.uint8)) for _ in range(60)]
+        end = np.cumsum([len(x) for x in rows])
+        begin, group = end - [len(x) for x in rows], np.repeat(np.arange(6), 10)
+        origin = np.array([rng.integers(0, len(x)) for x in rows])
+        seen = 0
+        for t, order, lcp in factors.orders(np.frombuffer(b"".join(rows), np.uint8), begin + origin, begin, end, group, 12):
+            want = sorted((group[i], rows[i][origin[i] - t :][:12], 0) for i in range(60) if origin[i] >= t)
+            assert [(group[i], rows[i][origin[i] - t :]) for i in order] == sorted((group[i], rows[i][origin[i] - t :]) for i in order) or [(group[i], rows[i][origin[i] - t :][:12], 0) for i in order] == want
+            for k in range(1, len(order)):
+                a, b = (rows[i][origin[i] - t :] for i in order[k - 1 : k + 1])
+                n = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                assert lcp[k] == (min(n, 12) if group[order[k]] == group[order[k - 1]] else 0)
+            seen += 1
+        assert seen == origin.max() + 1
+
+
 def test_spans_hold_every_start_once():
     for x in (b"a" * 900, b"abc" * 400, bytes(np.random.default_rng(0).integers(0, 256, 5000).astype(np.uint8)), b"x" * 399):
-        start, n, _, _ = suffix_dedup.spans(np.frombuffer(x, np.uint8), 400)
+        start, n, *_ = suffix_dedup.spans(np.frombuffer(x, np.uint8), 400)
         assert sorted(i for s, k in zip(start, n, strict=True) for i in range(s, s + k)) == list(range(max(0, len(x) - 399)))
 
 
