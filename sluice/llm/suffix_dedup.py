@@ -269,9 +269,10 @@ def without_repeats(docs: DataFrame, length: int = 400, keep: str = "none", gath
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of all documents without strings of 400 bytes that occur twice."""
+    """What stays of all documents without strings of 400 bytes that occur twice; characters cut in the middle are U+FFFD in `text`."""
     out = without_repeats(documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.expr("cast(size(removed) div 2 as bigint)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.expr("cast(size(removed) div 2 as bigint)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
