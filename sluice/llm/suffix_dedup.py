@@ -41,7 +41,7 @@ K = 32
 #: Starts worked on at once; positions in them fit the low 20 bits of a key.
 CHUNK = (1 << 20) - 4096
 #: Distinct strings of one group that one task takes; starts of a piece of a larger group, round by round.
-GATHERED, WIDTHS = 1000, (64, 8, 1)
+GATHERED, WIDTHS = 500, (64, 8, 1)
 #: Bytes of strings whose suffixes are ordered at once.
 AT_ONCE = 4 << 20
 SPANS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("middle", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())])
