@@ -268,6 +268,36 @@ def test_op4(spark, sf, monkeypatch, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("bands, rows", [(60, 7), (30, 1)])
+def test_near_groups_of_templates(spark, monkeypatch, bands, rows):
+    """Texts between 0.6 and 1 alike, in chains; with wide bands all are candidates for each other, in several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 20)
+    rng = random.Random(8)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(90):
+        w = list(rng.choice(texts).split() if texts and rng.random() < 0.5 else base)
+        for _ in range(rng.choice((0, 1, 3, 6, 10))):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    _, group = brute_components(texts, 4, 80)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(d, bands=bands, rows=rows).collect()}
+    least = {}
+    for i, g in enumerate(group):
+        least.setdefault(g, i)
+    assert 1 < len(least) < 90 and got == {i: least[g] for i, g in enumerate(group)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a, 1), (1, a, 2), (1, a, 3), (2, a + " z", 4), (None, b, 5), (None, b, 6), (3, c, 7), (4, None, 8), (4, None, 9), (5, "", 10)]
+    d = spark.createDataFrame([(*r, 0, 0, {"k": "v"}) for r in rows], "doc_id long, text string, row int, gone_id int, doc int, `a b: c` map<string,string>")
+    out = near_dedup.deduplicated(d)
+    assert out.dtypes == d.dtypes
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (3, c), (4, None), (4, None), (5, "")], key=str)
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 90), (95, 90), (95, 91)]
     got = {r.id: r.root for r in components(Workspace(spark, "test"), spark.createDataFrame(edges, "a long, b long"), "c").collect()}
