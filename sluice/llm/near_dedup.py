@@ -8,7 +8,7 @@
    its hub, so that no pairs are emitted.
 3. Each set is held against the hub that it shares most bands with: a task has a hub and some of its sets. Copies of one
    text, however many, are linked here by one comparison each.
-4. Buckets whose sets are in one component are done. The others' sets form coarse groups, those of over 1,000 sets cut
+4. Buckets whose sets are in one component are done. The others' sets form coarse groups, those of over 500 sets cut
    into blocks, with a task for each pair of blocks. Registers alone are dealt: sets of different components are judged
    by sizes, then by the likelihood of the threshold given how many registers are equal, larger and smaller. Texts go
    only to the pairs of blocks in which they have a likely partner, and full sets are compared there; a task gives links
@@ -40,7 +40,7 @@ from .kernels import LOWER, mix, shingles, word_hashes
 
 B, RATE, TOP = 1.001, 20.0, 65535
 #: A task's block: sets and bytes of text.
-BLOCK_SETS, BLOCK_BYTES = 1000, 8 << 20
+BLOCK_SETS, BLOCK_BYTES = 500, 8 << 20
 #: Log-likelihood ratio beyond which a pair is taken to be below the threshold: once in 1e7 pairs at it.
 RATIO = 14.0
 BANDS, ROWS = 60, 7
