@@ -1,19 +1,25 @@
 """Quality rules: base rules, and thresholds that each language and source sets itself, from mergeable quantile sketches.
 
-Features of all texts are aggregated to a KLL sketch for each language and source; those of small groups give way to the
-language's sketch, merged from its sources', and to that of all. A text fails a rule if its value lies above the upper
-fence of its group, third quartile + `reach` * interquartile range, and above the rule's floor, below which values are
-harmless anywhere: clean groups lose nothing for being compared with themselves, as a fixed share would. A source whose
-junk reaches its third quartile doesn't lift its own limit: the fence is at most the greater of that of the language (of
-all, for a language) and the one that the lower half gives, median + (1 + 2 * `reach`) * (median - first quartile), which
-is also the most for all. Over half of a source (or of all) must be alike to be taken for its style; if that is junk, it stays.
-
-Rules: symbols to a word, repeated lines among lines (three lines are added, so that short texts weigh less), words in repeated windows, capitals among characters of words, words
-equal to the one before.
+For each rule a text has a count of events among places: symbols among words, repeated lines among lines, repeated windows
+(ten words in windows found twice or more are one event) among as many words, capitals among characters of words, words
+equal to the one before among words. Rates, counts / places, are aggregated to a KLL sketch for each language and source;
+sketches of a language's sources merge to the language's, and these to that of all.
+
+A group's limit is the upper fence of its rates, third quartile + `reach` * interquartile range: no rule has a constant
+cutoff, and where most texts have no such event at all, the limit is zero. A text fails a rule if its rate lies above the
+limit for certain: it would, had it `sure` standard deviations fewer events (the deviation of a count is its square
+root), so that one odd event, or a short text, condemns nothing. Limits of small groups lean on those of larger ones: a
+source's is the mean of its own and its language's, weighed by its rows and by `lean` rows, and the language's so with
+that of all. A source whose junk reaches its third quartile doesn't lift its own limit: the fence is at most the greater
+of that of the language (of all, for a language) and the one that the lower half gives, median + (1 + 2 * `reach`) *
+(median - first quartile), which is also the most for all. Over half of a source (or of all) must be alike to be taken for
+its style; if that is junk, it stays.
+
 All of it is built-in functions; sketches and counts take every row, and no text is shuffled.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups. An empty table gives an
-empty result. Rows repeated are judged alike. Other columns don't matter, whatever their names.
+empty result. Rows repeated are judged alike; a rate equal to its limit passes. Very long texts are judged whole. Other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +31,10 @@ from .common import WORD, Workspace, documents
 from .native import let
 
 WINDOW = 5
-#: Rule: share of the text's words (or lines, or characters) and its floor.
-FLOORS = {"symbols": 0.1, "dup_lines": 0.25, "repeats": 0.2, "capitals": 0.3, "stutter": 0.1}
-REACH = 3.0
-#: Rows that a group must have for a threshold of its own; accuracy of the sketches.
-OWN_ROWS, SKETCH_K = 100, 400
+RULES = ("symbols", "dup_lines", "repeats", "capitals", "stutter")
+REACH, SURE = 3.0, 3.0
+#: Rows of the wider group that stand beside a group's own; accuracy of the sketches.
+LEAN, SKETCH_K = 20, 400
 
 
 def repeated_words(n: Column, hashes: Column) -> Column:
@@ -70,33 +75,32 @@ def features(text: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of)
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """docs with a column `q`: a struct of counts, base_failed, and each rule's value."""
-    df = docs.withColumn("q", features(docs["text"]))
-    x = lambda k: F.col(f"q.{k}")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return df.withColumn(
-        "q",
-        F.struct(
-            x("n_words"), x("word_chars"), x("n_symbols"), x("n_lines.dup").cast("long").alias("n_dup_lines"), x("n_repeat.words").alias("n_repeat_words"),
-            ((x("n_words") < 10) | (100 * x("n_repeat.words") > 20 * x("n_words"))).alias("base_failed"),
-            F.struct(
-                ratio(x("n_symbols"), x("n_words")).alias("symbols"), (x("n_lines.dup") / (x("n_lines.n") + 3)).alias("dup_lines"),
-                ratio(x("n_repeat.words"), x("n_words")).alias("repeats"), ratio(x("n_capitals"), x("word_chars")).alias("capitals"),
-                ratio(x("n_repeat.stutter"), x("n_words")).alias("stutter"),
-            ).alias("v"),
-        ),
-    )
-
-
-def thresholds(rated: DataFrame, reach: float = REACH, own_rows: int = OWN_ROWS) -> DataFrame:
-    """lang, source, limits (a struct with each rule's), one row of each group; from columns lang, source, v."""
-    names = list(FLOORS)
-    own = rated.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(f"v.{k}"), F.lit(SKETCH_K)).alias(k) for k in names])
+def rated(text: Column, sure: float = SURE) -> Column:
+    """Struct of counts, base_failed, and structs of each rule's rate (v) and of the rate that is certain (s)."""
+
+    def of(x: Column) -> Column:
+        n, dup = x["n_words"], x["n_lines"]["dup"]
+        events = {
+            "symbols": (x["n_symbols"], n), "dup_lines": (dup, x["n_lines"]["n"]), "repeats": (x["n_repeat"]["words"] / (2 * WINDOW), n / (2 * WINDOW)),
+            "capitals": (x["n_capitals"], x["word_chars"]), "stutter": (x["n_repeat"]["stutter"], n),
+        }
+        rate = {k: F.when(m > 0, c / m).otherwise(0.0) for k, (c, m) in events.items()}
+        certain = {k: F.when(c > sure * sure, rate[k] * (1 - sure / F.sqrt(c))).otherwise(0.0) for k, (c, _) in events.items()}
+        return F.struct(
+            n.alias("n_words"), x["word_chars"].alias("word_chars"), x["n_symbols"].alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), x["n_repeat"]["words"].alias("n_repeat_words"),
+            ((n < 10) | (100 * x["n_repeat"]["words"] > 20 * n)).alias("base_failed"), F.struct(*[rate[k].alias(k) for k in RULES]).alias("v"), F.struct(*[certain[k].alias(k) for k in RULES]).alias("s"),
+        )
+
+    return let(features(text), of)
+
+
+def thresholds(rows: DataFrame, reach: float = REACH, lean: float = LEAN) -> DataFrame:
+    """t_lang, t_source, limits (a struct with each rule's), one row of each group; from columns lang, source, v."""
+    own = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(f"v.{k}"), F.lit(SKETCH_K)).alias(k) for k in RULES])
 
     def merged(*by: str) -> DataFrame:
         tag = "_lang" if by else "_all"
-        return own.groupBy(*by).agg(F.sum("n").alias(f"n{tag}"), *[F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(f"{k}{tag}") for k in names])
+        return own.groupBy(*by).agg(F.sum("n").alias(f"n{tag}"), *[F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(f"{k}{tag}") for k in RULES])
 
     by_lang = merged("lang").withColumnRenamed("lang", "l")
     all_ = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"])).drop("l").join(F.broadcast(merged()))  # the last has one row
@@ -106,45 +110,37 @@ def thresholds(rated: DataFrame, reach: float = REACH, own_rows: int = OWN_ROWS)
             q1, q2, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(p)) for p in (0.25, 0.5, 0.75))
             return q3 + reach * (q3 - q1), q2 + (1 + 2 * reach) * (q2 - q1)  # the same where both halves are alike
 
-        def capped(sketch: str, wider: Column) -> Column:
+        def leaning(sketch: str, n: Column, wider: Column) -> Column:
             upper, lower = fences(sketch)
-            return F.least(upper, F.greatest(lower, wider))
+            return (n * F.least(upper, F.greatest(lower, wider)) + lean * wider) / (n + lean)
 
-        of_all = F.least(*fences(f"{k}_all"))
-        of_lang = F.when(F.col("n_lang") >= own_rows, capped(f"{k}_lang", of_all)).otherwise(of_all)
-        return F.greatest(F.lit(FLOORS[k]), F.when(F.col("n") >= own_rows, capped(k, of_lang)).otherwise(of_lang))
+        return leaning(k, F.col("n"), leaning(f"{k}_lang", F.col("n_lang"), F.least(*fences(f"{k}_all"))))
 
-    return all_.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*[limit(k).alias(k) for k in names]).alias("limits"))
+    return all_.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*[limit(k).alias(k) for k in RULES]).alias("limits"))
 
 
-def judged(rated: DataFrame, limits: DataFrame) -> DataFrame:
-    """rated (with lang, source, base_failed, v) with `kept`."""
+def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows (with lang, source, base_failed, s) with `kept`."""
     within = F.lit(True)
-    for k in FLOORS:
-        within &= F.col(f"v.{k}") <= F.col(f"limits.{k}")
-    out = rated.join(limits, rated["lang"].eqNullSafe(limits["t_lang"]) & rated["source"].eqNullSafe(limits["t_source"]))
-    # one expression of both sides: a part of it pushed below the join would work out all features twice
+    for k in RULES:
+        within &= F.col(f"s.{k}") <= F.col(f"limits.{k}")
+    out = rows.join(limits, rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"]))
     return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(within)).drop("t_lang", "t_source", "limits")
 
 
-def rated_rows(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """Counts of all rows, without texts."""
-    return ws.save(with_features(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "q.*"), "features")
-
-
-def quality(docs: DataFrame, reach: float = REACH, own_rows: int = OWN_ROWS) -> DataFrame:
+def quality(docs: DataFrame, reach: float = REACH, lean: float = LEAN, sure: float = SURE) -> DataFrame:
     """doc_id, counts, base_failed and kept of each row."""
     ws = Workspace(docs.sparkSession, "quality")
-    rows = rated_rows(ws, docs)
-    return judged(rows, ws.save(thresholds(rows, reach, own_rows), "limits")).drop("v", "lang", "source")
+    rows = ws.save(docs.select("doc_id", "lang", "source", rated(F.col("text"), sure).alias("q")).select("doc_id", "lang", "source", "q.*"), "features")
+    return judged(rows, ws.save(thresholds(rows, reach, lean), "limits")).drop("v", "s", "lang", "source")
 
 
-def accepted(docs: DataFrame, reach: float = REACH, own_rows: int = OWN_ROWS) -> DataFrame:
-    """The rows of docs that pass, all columns as they are. Counts are taken again beside the texts, which saves a shuffle of them."""
+def accepted(docs: DataFrame, reach: float = REACH, lean: float = LEAN, sure: float = SURE) -> DataFrame:
+    """The rows of docs that pass, all columns as they are. They are written with their rates beside them, so these are worked out once and no text is shuffled."""
     ws = Workspace(docs.sparkSession, "quality")
-    limits = ws.save(thresholds(rated_rows(ws, docs), reach, own_rows), "limits")
-    rows = with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", "lang", "source")).select("doc", "lang", "source", "q.base_failed", "q.v")
-    return judged(rows, limits).filter("kept").select("doc.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "lang", "source", rated(F.col("text"), sure).alias("q"))
+    rows = ws.save(whole.select("doc", "lang", "source", "q.base_failed", "q.v", "q.s"), "rated")
+    return judged(rows, ws.save(thresholds(rows, reach, lean), "limits")).filter("kept").select("doc.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

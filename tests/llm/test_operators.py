@@ -389,9 +389,60 @@ def test_op7(spark, sf):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def brute_verdicts(rows, reach=3.0, lean=20, sure=3.0):
+    """kept of (text, lang, source) by exact quantiles."""
+    quantile = lambda x, p: sorted(x)[max(0, -(-len(x) * int(100 * p) // 100) - 1)]
+    rates, certain, base = [], [], []
+    for t, _, _ in rows:
+        t = t or ""
+        w = W.findall(t)
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        twice, lines = Counter(grams), [x for x in t.split("\n") if W.search(x)]
+        covered = len({j for i, g in enumerate(grams) if twice[g] > 1 for j in range(i, i + 5)})
+        n, stutter = len(w), sum(a == b for a, b in zip(w, w[1:], strict=False))
+        events = [(len(re.findall(r"[#*$%&|<>]", t)), n), (len(lines) - len(set(lines)), len(lines)), (covered / 10, n / 10), (sum(c.isupper() for c in t), sum(map(len, w))), (stutter, n)]
+        rates.append([c / m if m else 0.0 for c, m in events])
+        certain.append([(c - sure * c**0.5) / m if c > sure * sure else 0.0 for c, m in events])
+        base.append(n < 10 or 100 * covered > 20 * n)
+    groups = defaultdict(list)
+    for (_, lang, source), v in zip(rows, rates, strict=True):
+        for key in (None, (lang,), (lang, source)):
+            groups[key].append(v)
+
+    def limit(key, k, wider):
+        x = [v[k] for v in groups[key]]
+        q1, q2, q3 = (quantile(x, p) for p in (0.25, 0.5, 0.75))
+        upper, lower = q3 + reach * (q3 - q1), q2 + (1 + 2 * reach) * (q2 - q1)
+        return min(upper, lower) if wider is None else (len(x) * min(upper, max(lower, wider)) + lean * wider) / (len(x) + lean)
+
+    out = []
+    for (_, lang, source), s, failed in zip(rows, certain, base, strict=True):
+        limits = [limit((lang, source), k, limit((lang,), k, limit(None, k, None))) for k in range(5)]
+        out.append(not failed and all(a <= b + 1e-12 for a, b in zip(s, limits, strict=True)))
+    return out, certain
+
+
+def test_op7_verdicts(spark, sf):
+    want, _ = brute_verdicts([r[1:4] for r in ROWS])
+    assert bag((r["doc_id"], r["kept"]) for r in run(spark, sf, "op7_quality")) == bag((r[0], k) for r, k in zip(ROWS, want, strict=True))
+
+
+def test_verdicts_of_documents(spark):
+    """On the test table: as by exact quantiles, unlike fixed cutoffs, and one text is judged otherwise in another group."""
+    table = "/root/testdata/sf0.001/documents.parquet"
+    odd = " ".join(f"w{i}{'#' if i < 60 else ''}" for i in range(200))
+    code = [(10_000 + i, " ".join(f"c{i}x{j}{'#' if j % 10 < 3 else ''}" for j in range(60 + i)), "en", "code") for i in range(99)]
+    d = spark.read.parquet(table).select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([*code, (20_000, odd, "en", "code"), (20_001, odd, "en", "src1")], "doc_id long, text string, lang string, source string"))
+    rows = d.collect()
+    want, certain = brute_verdicts([tuple(r)[1:] for r in rows])
+    got = {r.doc_id: (r.kept, r.base_failed) for r in quality.quality(d).collect()}
+    assert {r.doc_id: k for r, k in zip(rows, want, strict=True)} == {i: k for i, (k, _) in got.items()}
+    assert got[20_000] == (True, False) and got[20_001] == (False, False)
+
+
 def test_thresholds_follow_their_group(spark):
-    texts = [(i, " ".join(f"w{i}x{j}" + ("#" if j < 8 else "") for j in range(40)), "en", "code") for i in range(120)]
-    texts += [(1000 + i, " ".join(f"v{i}x{j}" for j in range(40)), "en", "prose") for i in range(120)] + [(2000, texts[0][1].replace("w0", "u0"), "en", "prose")]
+    texts = [(i, " ".join(f"w{i}x{j}" + ("#" if j < 60 else "") for j in range(200)), "en", "code") for i in range(300)]
+    texts += [(1000 + i, " ".join(f"v{i}x{j}" for j in range(200)), "en", "prose") for i in range(300)] + [(2000, texts[0][1].replace("w0", "u0"), "en", "prose")]
     d = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality.accepted(d).collect()}
     assert 5 in kept and 1005 in kept and 2000 not in kept
