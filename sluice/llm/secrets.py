@@ -5,8 +5,9 @@ runs; the others are scanned once each, however many documents or versions hold
 address. Ledger rows are (blob, rule_version, spans); appending the new ones makes the next scan incremental.
 All of it is built-in functions; positions are code points.
 
-Nulls: a null text is empty. Rows repeated have the same blob. Very long texts are scanned whole. An empty table gives
-an empty result. Other columns don't matter, whatever their names.
+Nulls: a null text is empty. Rows repeated have the same blob. Ties: spans with equal starts are listed in the order of
+their rules. Very long texts are scanned whole, in time that grows with their length and matches. An empty table gives an
+empty result. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
