@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: Words of all contracts: runs of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +60,30 @@ class Workspace:
             return
 
 
+def running(df: DataFrame, key: str, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """df with `name`: the sum of `value` over the rows of the same key before it. key: no nulls; order: a number, once for each key.
+
+    Sums within blocks of `width` orders and then over blocks, so that a key's rows are spread over tasks.
+    """
+    block = F.expr(f"{order} div {width}")
+    inner = df.withColumn("_block", block).withColumn("_inner", F.sum(value).over(W.partitionBy(key, "_block").orderBy(order)) - F.col(value))
+    sums = df.groupBy(F.col(key).alias("_key"), block.alias("_b")).agg(F.sum(value).alias("_sum")).withColumn("_before", F.sum("_sum").over(W.partitionBy("_key").orderBy("_b")) - F.col("_sum"))
+    joined = inner.join(sums, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_b")))
+    return joined.withColumn(name, F.col("_inner") + F.col("_before")).drop("_block", "_inner", "_key", "_b", "_sum", "_before")
+
+
+#: A mixture's sources: a table of one row for each comes to the driver and to all tasks.
+MOST_SOURCES = 1_000_000
+
+
+def source_sums(parts: DataFrame, value: str = "n") -> list[tuple]:
+    """(source, sum) by code point, null last; an error if there are too many sources for one table."""
+    found = [tuple(x) for x in parts.groupBy("source").agg(F.sum(value)).limit(MOST_SOURCES + 1).collect()]
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix by a coarser column")
+    return sorted(found, key=lambda x: (x[0] is None, x[0] or ""))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,19 +1,24 @@
 """Mixing sources to target weights: fixed-length blocks, multinomial draws per output shard, permuted indexes, a join.
 
-Every source's words, its documents one after the other, are packed into blocks of `block` words (the last is shorter).
-The mix is a sequence of slots of one block each, in shards of `shard_slots`. Each shard draws from a multinomial how
-many of its slots each source gets, by a generator keyed with its number, so shards need nothing of each other. The
-draws' sums come near the slots a source is due; those of a source over its due, chosen by a permutation of its draws,
-go to the sources under theirs, so that all dues are met exactly. Slot j of a source takes block p(j) of pass
-j div blocks, p a keyed permutation of the block numbers for each pass: no block comes twice in a pass, and block data
-meet slots in a join by block number, of which a source of any size has many.
+Every source's words, its documents one after the other by id, are packed into blocks of `block` words (the last is
+shorter). The mix is a sequence of slots of one block each, in shards of `shard_slots`. Each shard draws from a
+multinomial how many of its slots each source gets, by a generator keyed with its number, so shards need nothing of each
+other. The draws' sums come near the slots a source is due; those of a source over its due, chosen by a permutation of
+its draws, go to the sources under theirs. Slot j of a source takes block p(j) of pass j div blocks, p a keyed permutation
+of the block numbers for each pass, in the last of the full blocks with the short one behind them: no block comes twice
+in a pass, and a source's very last slot takes only the words still due, so that all targets are met to the word. Block
+data meet slots in a join by block number, of which a source of any size has many.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating, and share `share` times all words; no target
 goes above `most` times its source's words, and what is over goes to the others by weight, until none is above. The
-source table, one row per source, is the only thing that the driver takes.
+source table, one row per source (1,000,000 at most, else an error), is the only thing that the driver takes.
+
+The mix doesn't depend on how the table is cut into files and partitions: a source's documents stand by id (null first)
+and hash of the text, and only rows that agree in both are told apart by their place.
 
 Nulls: a null text has no words; a null source is a source. Documents without words are listed with nothing taken. An
-empty table gives an empty mix. Repeated rows are mixed each. Other columns don't matter, whatever their names.
+empty table gives an empty mix. Repeated rows are mixed each. Very long texts are cut into blocks like others, one at a
+time in memory. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, flat, map_arrow, map_batches, record
+from .common import Workspace, documents, flat, map_arrow, map_batches, record, running, source_sums
 from .kernels import permute, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
-ROWS = "part long, row long, doc_id long, source string, size long, local_start long"
-ROWS_ARROW = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("local_start", pa.int64())])
-SLOTS_ARROW = pa.schema([(x, pa.int64()) for x in ("shard", "slot", "source_no", "pass", "block")])
+ROWS = "part long, row long, doc_id long, text_hash long, source string, size long"
+ROWS_ARROW = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+PLACED = "part long, row long, doc_id long, source string, size long, stretch long, local_start long"
+PLACED_ARROW = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("stretch", pa.int64()), ("local_start", pa.int64())])
+SLOTS_ARROW = pa.schema([(x, pa.int64()) for x in ("shard", "slot", "source_no", "pass", "block", "most")])
 
 
 def targets(sizes: list[int], share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> list[float]:
@@ -52,59 +59,75 @@ def targets(sizes: list[int], share: float = 1.5, most: float = 2.0, weights: tu
     return out
 
 
-def sized_rows(ws: Workspace, docs: DataFrame, order: list[str], texts: bool) -> DataFrame:
-    """Rows with their words, and the words before them in their source within the part; with all columns if texts are wanted."""
+def sized_rows(ws: Workspace, docs: DataFrame, texts: bool) -> DataFrame:
+    """Rows with their words, named by part and row; with texts if they are wanted."""
     schema = ROWS_ARROW if not texts else pa.schema([*ROWS_ARROW, ("text", pa.string()), ("lang", pa.string())])
 
     def count(batches):
-        part, row, at = TaskContext.get().partitionId(), 0, {}
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = np.diff(words(*flat(batch["text"]))[2])
-            start = np.empty(len(n), np.int64)
-            for i, (s, k) in enumerate(zip(batch["source"].to_pylist(), n.tolist(), strict=True)):
-                start[i] = at.get(s, 0)
-                at[s] = at.get(s, 0) + k
             more = {"text": batch["text"], "lang": batch["lang"]} if texts else {}
-            yield record(schema, part=np.full(len(n), part), row=row + np.arange(len(n)), doc_id=batch["doc_id"], source=batch["source"], size=n, local_start=start, **more)
+            yield record(schema, part=np.full(len(n), part), row=row + np.arange(len(n)), doc_id=batch["doc_id"], text_hash=batch["text_hash"], source=batch["source"], size=n, **more)
             row += len(n)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), *(["lang"] if texts else []))
-    if order:
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), *(["lang"] if texts else []))
     return ws.save(map_arrow(rows, count, ROWS + (", text string, lang string" if texts else "")), "rows")
 
 
+def placed_rows(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """Rows without texts, in stretches by id, with the words before them in their source within the stretch."""
+
+    def place(batches):
+        stretch, at = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            start = np.empty(batch.num_rows, np.int64)
+            for i, (s, k) in enumerate(zip(batch["source"].to_pylist(), batch["size"].to_pylist(), strict=True)):
+                start[i] = at.get(s, 0)
+                at[s] = start[i] + k
+            yield record(PLACED_ARROW, stretch=np.full(len(start), stretch), local_start=start, **{c: batch[c] for c in ("part", "row", "doc_id", "source", "size")})
+
+    order = ["doc_id", "text_hash", "part", "row"]
+    return ws.save(map_batches(rows.select(*ROWS_ARROW.names).repartitionByRange(*order).sortWithinPartitions(*order), place, PLACED), "placed")
+
+
 class Mix:
-    """sources: (source, size, target) in order. rows: documents with part and row as their key, source_no and the start in their source. pieces: words of documents in blocks. slots: the mix."""
+    """sources: (source, size, target) in order. rows: documents with part and row as their key, source_no and the start in their source. pieces: words of documents in blocks. slots: the mix. texts: rows' texts, if wanted."""
 
-    def __init__(self, docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14, seed: int = 20, order: list[str] | None = None, texts: bool = False, **how):
+    def __init__(self, docs: DataFrame, block: int = 64, shard_slots: int = 1 << 14, seed: int = 20, texts: bool = False, **how):
         self.spark, self.block = docs.sparkSession, block
         self.ws = ws = Workspace(self.spark, "mixing")
-        rows = sized_rows(ws, docs, order or [], texts)
-        self.parts = ws.save(rows.groupBy("source", "part").agg(F.sum("size").alias("n")), "parts")
-        sums = sorted((tuple(x) for x in self.parts.groupBy("source").agg(F.sum("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+        self.texts = sized_rows(ws, docs, texts)
+        rows = placed_rows(ws, self.texts)
+        parts = ws.save(rows.groupBy("source", "stretch").agg(F.sum("size").alias("n")), "parts")
+        sums = source_sums(parts)
         due = targets([n for _, n in sums], **how)
         self.sources = [(s, n, t) for (s, n), t in zip(sums, due, strict=True)]
         table = self.spark.createDataFrame([(i, *x) for i, x in enumerate(self.sources)], "source_no int, name string, source_size long, target double")
-        starts = self.parts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
-        # one table by source and part, written: its size decides how it is joined, and a hot source has many parts
-        places = ws.save(starts.join(F.broadcast(table), F.col("s").eqNullSafe(F.col("name"))).drop("name"), "places")
-        self.rows = rows.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("start", F.col("local_start") + F.col("before")).drop("s", "p", "before", "local_start")
+        numbered = parts.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("source_no", F.col("source").alias("s"), F.col("stretch").alias("p"), "n", "source_size", "target")
+        # one table by source and stretch, written: its size decides how it is joined, and a hot source has many stretches
+        places = ws.save(running(numbered, "source_no", "p", "n", "before").drop("n"), "places")
+        self.rows = rows.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("p"))).withColumn("start", F.col("local_start") + F.col("before")).drop("s", "p", "before", "local_start", "stretch")
         first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
         cut = self.rows.filter("size > 0").select("part", "row", "doc_id", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
         begin = F.greatest(F.col("start"), F.col("block") * block)
-        self.pieces = cut.select("part", "row", "doc_id", "source_no", "block", (begin - F.col("start")).alias("first_word"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("n_words"))
+        self.pieces = cut.select(
+            "part", "row", "doc_id", "source_no", "block", (begin - F.col("start")).alias("first_word"), (begin - F.col("block") * block).alias("at"),
+            (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("n_words"),
+        )
         self.slots = self._slots(shard_slots, seed)
 
     def _slots(self, m: int, seed: int) -> DataFrame:
-        """shard, slot, source_no, pass, block."""
+        """shard, slot, source_no, pass, block, most (words that the slot takes of the block)."""
         b = self.block
-        sizes, due = (np.array([x[i] for x in self.sources]) for i in (1, 2))
-        blocks = -(-sizes // b)
-        whole = np.floor(np.divide(due, sizes, out=np.zeros(len(sizes)), where=sizes > 0) + 1e-12)
-        slots = (whole * blocks + np.minimum(blocks, np.round((due - whole * sizes) / b))).astype(np.int64)
+        sizes, due = np.array([x[1] for x in self.sources], np.int64), np.array([round(x[2]) for x in self.sources], np.int64)
+        blocks, full = -(-sizes // b), sizes // b
+        whole = due // np.maximum(sizes, 1)
+        rest = due - whole * sizes
+        last = np.where(rest > 0, rest - np.minimum(-(-rest // b) - 1, full) * b, b)  # words of a source's last slot
+        slots = whole * blocks + np.where(rest > 0, (rest - last) // b + 1, 0)
         total = int(slots.sum())
-        schema = "shard long, slot long, source_no long, pass long, block long"
+        schema = "shard long, slot long, source_no long, pass long, block long, most long"
         if not total:
             return self.spark.createDataFrame([], schema)
         share, n_shards = slots / total, -(-total // m)
@@ -123,7 +146,7 @@ class Mix:
         over, under = np.maximum(drawn - slots, 0), np.maximum(slots - drawn, 0)
         over_start, under_end = np.cumsum(over) - over, np.cumsum(under)
         at = W.partitionBy("shard").orderBy("source_no")
-        placed = draws.select("*", (F.sum("n").over(W.partitionBy("source_no").orderBy("shard")) - F.col("n")).alias("before")).select("*", (F.sum("n").over(at) - F.col("n")).alias("slot"))
+        placed = running(draws, "source_no", "shard", "n", "before").select("*", (F.sum("n").over(at) - F.col("n")).alias("slot"))
 
         def fill(batches):
             for batch in batches:
@@ -137,9 +160,12 @@ class Mix:
                     turn, index = j // blocks[source], j % blocks[source]
                     for g in np.unique(source):
                         for k in np.unique(turn[source == g]):
-                            which = (source == g) & (turn == k)
-                            index[which] = permute(index[which], int(blocks[g]), (seed * 1000003 + int(g)) * 64 + int(k) + 7)
-                    yield record(SLOTS_ARROW, shard=np.full(n, shard), slot=slot + np.arange(n), source_no=source, **{"pass": turn}, block=index)
+                            which = np.flatnonzero((source == g) & (turn == k))
+                            n_blocks = int(full[g] if k == whole[g] else blocks[g])  # the short block stands last in a pass that isn't whole
+                            which = which[index[which] < n_blocks]
+                            index[which] = permute(index[which], n_blocks, (seed * 1000003 + int(g)) * 64 + int(k) + 7)
+                    most = np.where((j == slots[source] - 1) & (rest[source] > 0), last[source], b)
+                    yield record(SLOTS_ARROW, shard=np.full(n, shard), slot=slot + np.arange(n), source_no=source, **{"pass": turn}, block=index, most=most)
 
         # as a table: its size is known, so the join by block number shuffles it once it is large
         deal = placed.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no")
@@ -147,7 +173,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """The mix: shard, slot, pass, source_no, block and, of each document in the block, part, row, doc_id, first_word, n_words."""
-        return self.slots.join(self.pieces, ["source_no", "block"])
+        return self.slots.join(self.pieces, ["source_no", "block"]).withColumn("n_words", F.least("n_words", F.col("most") - F.col("at"))).filter("n_words > 0").drop("most", "at")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -157,7 +183,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     mix = Mix(docs, texts=True, **how)
     runs = mix.taken().groupBy("part", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
-    runs = mix.rows.select("part", "row", "doc_id", "text", "lang", "source").join(runs, ["part", "row"])
+    runs = mix.texts.select("part", "row", "doc_id", "text", "lang", "source").join(runs, ["part", "row"])
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 
     def cut(batches):

@@ -156,13 +156,40 @@ def test_op2(spark, sf):
     assert bag((r["doc_id"], r["size"], r["taken"]) for r in got) == bag((r["doc_id"], r["size"], r["taken"]) for r in run(spark, sf, "op2_mixing"))
     assert bag((r["doc_id"], r["size"]) for r in got) == bag((r[0], len(W.findall(t))) for r, t in zip(ROWS, TEXTS, strict=True))
     assert all(r["taken"] <= 2 * r["size"] for r in got)
-    source, taken, due = {r[0]: r[3] for r in ROWS}, Counter(), {}
+    sizes, taken = Counter(), Counter()
+    source = {(r[0], len(W.findall(t))): r[3] for r, t in zip(ROWS, TEXTS, strict=True) if (r[0], len(W.findall(t))) != (None, 0)}
+    for r, t in zip(ROWS, TEXTS, strict=True):
+        sizes[r[3]] += len(W.findall(t))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    due = dict(zip(names, mixing.targets([sizes[s] for s in names]), strict=True))
     for r in got:
-        if r["doc_id"] is not None:
-            s = source[r["doc_id"]]
-            taken[s] += r["taken"]
-            due[s] = r["target"]
-    assert all(abs(taken[s] - t) <= 64 + 0.03 * t for s, t in due.items() if s not in (None, "hot"))
+        s = source.get((r["doc_id"], r["size"]))
+        assert r["source_size"] == sizes[s] and abs(r["target"] - due[s]) < 1e-6
+        taken[s] += r["taken"]
+    assert {"hot", None} < set(taken) and all(taken[s] == round(t) for s, t in due.items())
+
+
+def test_op2_whatever_the_files(spark, docs):
+    mix = lambda d: bag((r.doc_id, r.n) for r in mixing.Mix(d, block=8).taken().groupBy("part", "row", "doc_id").agg(F.sum("n_words").alias("n")).collect())
+    assert mix(docs) == mix(docs.repartition(7)) == mix(docs.coalesce(1).orderBy(F.desc("doc_id")))
+
+
+def test_small_sources_get_their_words(spark):
+    rows = [(s * 100 + i, "w " * n, f"s{s:03}") for s, sizes in enumerate(([40], [65], [1], [64], [127, 3], [500] * 20, [7] * 30)) for i, n in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(d, shard_slots=8)
+    taken = {r.source_no: r.n for r in mix.taken().groupBy("source_no").agg(F.sum("n_words").alias("n")).collect()}
+    assert taken == {i: round(t) for i, (_, _, t) in enumerate(mix.sources) if round(t)}
+    most = mix.rows.join(mix.taken().groupBy("part", "row").agg(F.sum("n_words").alias("n")), ["part", "row"]).filter("n > 2 * size").count()
+    assert most == 0
+
+
+def test_running_sums(spark):
+    from sluice.llm.common import running
+
+    rows = [(k, i * 3 % 101, i % 7) for k in range(3) for i in range(101)]
+    got = {(r.k, r.i): r.before for r in running(spark.createDataFrame(rows, "k int, i int, n int"), "k", "i", "n", "before", 8).collect()}
+    assert got == {(k, i): sum(n for q, j, n in rows if q == k and j < i) for k, i, _ in rows}
 
 
 def test_targets():
