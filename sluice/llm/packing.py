@@ -9,7 +9,9 @@ into windows of `length` tokens. Queues' last parts of under a granule come at t
 cut at powers of two, so nothing is padded.
 
 Default targets are the sources' shares of all tokens: every window has them, and all queues end together.
-Queue order is that of the written token table: by its part, then by row. Nulls: a null text is empty and has its end id
+The source table (1,000,000 rows at most, else an error) is all that the driver takes and every task gets.
+Queue order is that of the written token table: by its part, then by row, ties and all. A very long text is encoded whole
+and placed in slices of rows. Nulls: a null text is empty and has its end id
 alone; a null source is a source. An empty table gives no pieces. Repeated rows are packed each. Other columns are left
 out, whatever their names.
 """
@@ -22,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, map_arrow, map_batches, record
+from .common import Workspace, documents, map_arrow, map_batches, record, running, source_sums
 from .tokens import default_tokenizer, encoder, with_end
 
-TOKENS = "doc_id long, source string, part long, local_start long, ids array<int>"
-TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("local_start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+#: ids: as many bytes to an id as its tokenizer needs, one value to the JVM and to Arrow, not thousands.
+TOKENS = "doc_id long, source string, part long, local_start long, n long, ids binary"
+TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("local_start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids array<int>"
 PIECES_ARROW = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("source", pa.string()), ("ids", pa.list_(pa.int32()))])
 
@@ -123,7 +125,9 @@ def token_queues(ws: Workspace, docs: DataFrame, tokenizer: str, end_id: int, or
             for i, (s, n) in enumerate(zip(batch["source"].to_pylist(), np.diff(offsets).tolist(), strict=True)):
                 start[i] = at.get(s, 0)
                 at[s] = at.get(s, 0) + n
-            yield record(TOKENS_ARROW, doc_id=batch["doc_id"], source=batch["source"], part=np.full(len(start), part), local_start=start, ids=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32))))
+            short = ids.astype("<u2" if encoder(tokenizer).size <= 1 << 16 and end_id < 1 << 16 else "<u4")
+            raw = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((offsets * short.itemsize).astype(np.int32)), pa.py_buffer(short)])
+            yield record(TOKENS_ARROW, doc_id=batch["doc_id"], source=batch["source"], part=np.full(len(start), part), local_start=start, n=np.diff(offsets), ids=raw)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     if order:
@@ -133,11 +137,11 @@ def token_queues(ws: Workspace, docs: DataFrame, tokenizer: str, end_id: int, or
 
 def queue_starts(ws: Workspace, tokens: DataFrame) -> tuple[DataFrame, list[tuple[str | None, int]]]:
     """Tokens before each part in its source's queue, and each source's tokens, null last (one row per source)."""
-    parts = tokens.groupBy("source", "part").agg(F.sum(F.size("ids")).cast("long").alias("n"))
-    starts = parts.select("source", "part", (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("queue_start"), "n")
-    starts = ws.save(starts, "starts")
-    sums = starts.groupBy("source").agg(F.sum("n")).collect()
-    return starts, sorted(((s, n) for s, n in sums), key=lambda x: (x[0] is None, x[0] or ""))
+    parts = ws.save(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
+    sums = source_sums(parts)
+    table = parts.sparkSession.createDataFrame([(i, s) for i, (s, _) in enumerate(sums)], "no int, name string")
+    numbered = parts.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    return ws.save(running(numbered, "no", "part", "n", "queue_start").drop("no"), "starts"), sums
 
 
 def pack(docs: DataFrame, length: int = 4096, granule: int = 32, weights: dict | None = None, tokenizer: str | None = None, end_id: int = 2, order: list[str] | None = None, with_ids: bool = True) -> DataFrame:
@@ -149,6 +153,7 @@ def pack(docs: DataFrame, length: int = 4096, granule: int = 32, weights: dict |
     ws = Workspace(docs.sparkSession, "packing")
     tokens = token_queues(ws, docs, tokenizer or default_tokenizer(), end_id, order or [])
     starts, sums = queue_starts(ws, tokens)
+    starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue_start")
     names = {s: i for i, (s, _) in enumerate(sums)}
     plan = Schedule([n for _, n in sums], length, granule, None if weights is None else [weights[s] for s, _ in sums]) if sums else None
 
@@ -156,10 +161,13 @@ def pack(docs: DataFrame, length: int = 4096, granule: int = 32, weights: dict |
         for batch in batches:
             if not batch.num_rows:
                 continue
-            offsets = batch["ids"].offsets.to_numpy().astype(np.int64)
-            values = np.ascontiguousarray(batch["ids"].values.to_numpy(zero_copy_only=False), "<u4")
+            raw, n = batch["ids"], batch["n"].to_numpy()
+            edges = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+            width = int((edges[-1] - edges[0]) // n.sum())
+            offsets = (edges - edges[0]) // width
+            values = np.frombuffer(raw.buffers()[2], "<u2" if width == 2 else "<u4", int(offsets[-1]), int(edges[0])).astype("<u4")
             source = np.array([names[x] for x in batch["source"].to_pylist()], np.int64)
-            at, n = batch["local_start"].to_numpy() + batch["queue_start"].to_numpy(), np.diff(offsets)
+            at = batch["local_start"].to_numpy() + batch["queue_start"].to_numpy()
             for s in np.unique(source):
                 rows = np.flatnonzero(source == s)
                 for some in np.array_split(rows, max(1, int(n[rows].sum()) // 4_000_000)):
@@ -175,7 +183,7 @@ def pack(docs: DataFrame, length: int = 4096, granule: int = 32, weights: dict |
                         ids = pa.nulls(len(row), pa.list_(pa.int32()))
                     yield record(PIECES_ARROW, doc_id=batch["doc_id"].take(pa.array(row)), start=begin, length=size, ids_crc32=np.array(crc, np.int64), doc_tokens=n[row], sequence_id=sequence, offset=offset, source=batch["source"].take(pa.array(row)), ids=ids)
 
-    placed = tokens.join(starts.select("source", "part", "queue_start"), (tokens["part"] == starts["part"]) & tokens["source"].eqNullSafe(starts["source"])).select("doc_id", tokens["source"], "local_start", "queue_start", "ids")
+    placed = tokens.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "local_start", "queue_start", "n", "ids")
     return map_batches(placed, cut, PIECES)
 
 

@@ -43,7 +43,8 @@ class Encoder:
 
         self.tokenizer, self.parts = Tokenizer.from_file(path), parts
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.size = max(self.tokenizer.get_vocab().values(), default=0) + 1
+        self.ends = np.zeros(self.size, bool)
         if suffix:
             self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
         self.cased = np.arange(256) >= 128  # bytes whose words keep their case
