@@ -13,8 +13,8 @@ CODES = {
     "a": "EEE", "A": "EEEE", "3f": "SSS", "6f": "SSSSSS", "f": "SSSSSSSSS", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm", "D": "MM/dd/yy", "z": "xx", "Z": "'UTC'",
 }
 DEFAULT = "%Y-%m-%dT%H:%M:%S%.3fZ"
-#: Tried in this order where no format is given; dates alone mean midnight.
-FORMATS = ("%Y-%m-%dT%H:%M:%S%.3fZ", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S%.3f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d")
+#: Tried in this order where no format is given (fixed values); dates alone mean midnight, times alone have no value.
+FORMATS = ("%Y-%m-%dT%H:%M:%S%.3fZ", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y-%m-%d")
 
 
 def pattern(strftime: str) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import merged, saved
+from .order import merged
+from .working import saved
 
 
 def bounded_iteration(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int, converged: Callable[[DataFrame, DataFrame], bool] | None = None) -> DataFrame:

@@ -6,29 +6,17 @@ counts, one row each, give the rows before every partition. What needs neighbour
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-POSITION = "position"
-
+from .working import saved
 
-def working_dir(df: DataFrame) -> str:
-    """The folder that driver and executors share, from the session; an own one only where none is set."""
-    return f"{(df.sparkSession.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written and reread: lineage ends, and lost executors don't cost its computation again."""
-    path = working_dir(df)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+POSITION = "position"
 
 
 def partitioned(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Sorted rows with _part and _place, written."""
+    """Sorted rows with _part and _place, written whole: joining positions back to the rest would shuffle it once more."""
     rows = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     return saved(rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
 
@@ -78,9 +66,9 @@ def sample(df: DataFrame, every: int, order_by: list[str], partition_by: list[st
 
 def neighbour(df: DataFrame, columns: list[str], order_by: list[str], step: int, name: str) -> DataFrame:
     """df with position, and the row `step` before (after, if negative) in a struct, NULL where there is none."""
-    rows = saved(positioned(df, order_by))
+    rows = positioned(df, order_by)
     other = rows.select((F.col(POSITION) + step).alias("_next"), F.struct(*columns).alias(name))
-    return rows.join(other, rows[POSITION] == other["_next"], "left").drop("_next")
+    return rows.join(other, F.col(POSITION) == F.col("_next"), "left").drop("_next")
 
 
 def running_max(df: DataFrame, value: str, order_by: list[str], partition_by: list[str] | None = None, name: str = "max") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,35 +71,52 @@ def debounced(df: DataFrame, time: str, delay: int, keys: list[str] | None, orde
     return df.withColumn("_quiet", quiet).filter(F.col("_quiet").isNull() | (F.col("_quiet") >= delay)).drop("_quiet")
 
 
+def kept_times(times: np.ndarray, new: np.ndarray, period: int, last: int | None) -> np.ndarray:
+    """Which of the ascending times of each key (new: its first) are kept, all keys a step at a time; last: the time kept last of a key that goes on from before."""
+    n, run = len(times), np.cumsum(new)
+    low = int(times.min())
+    place = run * (int(times.max()) - low + period + 1) + times - low  # ascending over all keys
+    following = np.searchsorted(place, place + period)
+    at, keep = np.flatnonzero(new), np.zeros(n, bool)
+    if not new[0]:  # goes on from before
+        first = int(np.searchsorted(times[: at[0] if len(at) else n], last + period))
+        at = np.append(at, first)[: len(at) + (first < (at[0] if len(at) else n))]
+    while len(at):
+        keep[at] = True
+        on = following[at]
+        at = on[(on < n) & (run[np.minimum(on, n - 1)] == run[at])]
+    return keep
+
+
 def throttled(df: DataFrame, time: str, period: int, keys: list[str], ties: list[str] | None = None) -> DataFrame:
-    """The first row of each key, then the first at least `period` after the last one kept; `ties` orders rows of one time.
+    """The first row of each key, then the first at least `period` after the last one kept; `ties` orders rows of one time. Rows without a time stand at 0.
 
     What is kept depends on what was kept before, so each key is a fold over its times in order; rows are streamed
     through sorted partitions, and no key is gathered.
     """
-    rows = df.withColumn("_t", _ms(time)).withColumn("_key", F.struct(*keys)).repartition(*keys).sortWithinPartitions(*keys, "_t", *(ties or []))
+    w = W.partitionBy(*keys).orderBy("_t", *(ties or []))
+    rows = df.withColumn("_t", F.coalesce(_ms(time), F.lit(0))).withColumn("_new", F.row_number().over(w) == 1)
 
     def fold(batches):
-        key, last = None, None
+        last = None
         for batch in batches:
-            keep = []
-            for k, t in zip(batch["_key"].to_pylist(), batch["_t"].to_pylist(), strict=True):
-                if key is None or k != key or t - last >= period:
-                    keep.append(True)
-                    key, last = k, t
-                else:
-                    keep.append(False)
-            import pyarrow as pa
-
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            times, new = batch["_t"].to_numpy(), batch["_new"].to_numpy(zero_copy_only=False)
+            keep = kept_times(times, new, period, last)
+            starts = np.flatnonzero(new)
+            of_last = np.flatnonzero(keep[starts[-1] if len(starts) else 0 :])
+            if len(of_last):
+                last = int(times[(starts[-1] if len(starts) else 0) + of_last[-1]])
+            yield batch.filter(pa.array(keep))
 
-    return rows.mapInArrow(fold, rows.schema).drop("_t", "_key")
+    return rows.mapInArrow(fold, rows.schema).drop("_t", "_new")
 
 
 def within_timeout(df: DataFrame, time: str, timeout: int, keys: list[str] | None, order_by: list[str]) -> DataFrame:
     """Rows (of each key, if keys are given) before the first gap longer than `timeout`."""
     if not keys:
-        rows = order.saved(order.neighbour(df, [time], order_by, 1, "_before"))
+        rows = order.neighbour(df, [time], order_by, 1, "_before")
         end = rows.filter(_ms(time) - F.col(f"_before.{time}").cast("long") > timeout).agg(F.min(order.POSITION).alias("_end"))
         return rows.join(F.broadcast(end), F.lit(True)).filter(F.col("_end").isNull() | (F.col(order.POSITION) < F.col("_end"))).select(df.columns)
     w = W.partitionBy(*keys).orderBy(*order_by)

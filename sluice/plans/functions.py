@@ -131,7 +131,34 @@ def fn_time(spark, sf_dir):
     return t.delayed(d.withColumn("parsed", t.parse_time(t.format_time("ms"))).withColumn("delayed", F.col("ms")), "delayed", 500)
 
 
-@query()
+@query("SELECT r_regionkey, true AS same, true AS in_run, true AS stamped FROM region")
 def fn_clock(spark, sf_dir):
-    """Of the run's own time, so without SQL."""
-    return t.timestamped(table(spark, sf_dir, "region").select("r_regionkey"))
+    """The run's own time: one for the whole query, within a day of the driver's clock, and on every row."""
+    import time
+
+    d = t.timestamped(table(spark, sf_dir, "region").select("r_regionkey"))
+    near = F.abs(F.col("timestamp") - F.lit(int(time.time() * 1000))) < 86_400_000
+    return d.select("r_regionkey", (F.col("timestamp") == t.now()).alias("same"), near.alias("in_run"), F.col("timestamp").isNotNull().alias("stamped"))
+
+
+@query("""WITH x AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS s FROM events)
+SELECT event_id, ms AS a, epoch_us(s) // 1000 AS b, epoch_us(s) // 1000 AS c, epoch_us(s) // 1000 AS d, epoch_us(date_trunc('day', s)) // 1000 AS e, CAST(NULL AS BIGINT) AS f, epoch_us(s) // 1000 AS g FROM x""")
+def fn_parse_time(spark, sf_dir):
+    """Every format that is tried without being given, a time alone, and a given one."""
+    d = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    formats = {**dict(zip("abcde", t.FORMATS, strict=True)), "f": "%H:%M:%S"}
+    out = {k: t.parse_time(t.format_time("ms", f)) for k, f in formats.items()}
+    return d.select("event_id", *[v.alias(k) for k, v in out.items()], t.parse_time(t.format_time("ms", "%d.%m.%Y %H:%M:%S"), "%d.%m.%Y %H:%M:%S").alias("g"))
+
+
+@query("""WITH x AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a, list(o_orderstatus ORDER BY o_orderkey) AS s FROM orders GROUP BY 1)
+SELECT o_custkey, list_transform(range(0, len(a), 3), lambda i: a[i + 1 : i + 3]) AS parts, list_filter(s, lambda v, i: list_position(s, v) = i) AS firsts, array_to_string(s, '-') AS joined,
+  CAST(o_custkey AS FLOAT) / 2 AS float_, CAST(len(a) AS FLOAT) AS n FROM x""")
+def fn_split_unique_join(spark, sf_dir):
+    """Arrays in parts of three, first occurrences, texts joined, and numbers as floats."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("r"))
+    rows = rows.select("o_custkey", F.col("r.o_orderkey").alias("a"), F.col("r.o_orderstatus").alias("s"))
+    return rows.select(
+        "o_custkey", c.array_split("a", 3).alias("parts"), c.array_unique("s").alias("firsts"), s.join("s", "-").alias("joined"),
+        (ty.to_float("o_custkey", "bigint") / 2).cast("float").alias("float_"), ty.to_float(F.size("a").cast("string"), "string").alias("n"),
+    )

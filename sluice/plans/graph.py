@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators.control import retry
-from ..operators.order import merged, saved
+from ..operators.order import merged
+from ..operators.working import saved
 
 
 class GraphError(ValueError):

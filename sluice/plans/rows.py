@@ -105,31 +105,17 @@ def route_try_catch(spark, sf_dir):
 
 
 def joined(how):
-    def f(spark, sf_dir):
-        a = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), "c_name")
-        b = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("key"), "o_orderkey")
-        return joins.join(a, b, ["key"], how)
-
-    f.__name__ = f"join_{how}"
-    return f
-
-
-for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
-    query(f"WITH a AS (SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT o_custkey AS key, o_orderkey FROM orders WHERE o_custkey % 3 = 0) SELECT key, c_name, o_orderkey FROM a {_sql} b USING (key)")(joined(_how))
-
-
-def joined_whole(how):
     def f(spark, sf_dir):
         a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name")
         b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
         return joins.join(a, b, ["key"], how)
 
-    f.__name__ = f"join_{how}_whole"
+    f.__name__ = f"join_{how}"
     return f
 
 
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
-    query(f"SELECT key, c_name, o_orderkey FROM (SELECT c_custkey AS key, c_name FROM customer) a {_sql} (SELECT o_custkey AS key, o_orderkey FROM orders) b USING (key)")(joined_whole(_how))
+    query(f"SELECT key, c_name, o_orderkey FROM (SELECT c_custkey AS key, c_name FROM customer) a {_sql} (SELECT o_custkey AS key, o_orderkey FROM orders) b USING (key)")(joined(_how))
 
 
 @query(EVENTS + ", x AS (SELECT user_id, ms AS t, CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END AS d FROM e) SELECT a.user_id AS user_id, CAST(sum(a.d * b.d) AS BIGINT) AS diff FROM x a JOIN x b ON a.user_id = b.user_id GROUP BY a.user_id HAVING sum(a.d * b.d) <> 0")
@@ -287,6 +273,32 @@ def ctl_bounded_iteration(spark, sf_dir):
     return control.bounded_iteration(seed, lambda d: d.select((F.col("x") * 2).alias("x")), 3)
 
 
+@query("WITH RECURSIVE r AS (SELECT n_nationkey AS id, n_nationkey AS k, 0 AS i FROM nation UNION ALL SELECT id, k + 3, i + 1 FROM r WHERE k < 20 AND i < 5) SELECT CAST(id AS BIGINT) AS id, CAST(max(k) AS BIGINT) AS k, CASE WHEN max(k) >= 20 AND max(i) < 5 THEN 'out' ELSE 'error' END AS route FROM r GROUP BY id")
+def ctl_while_body(spark, sf_dir):
+    """Up to five rounds of adding three."""
+    d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("k"))
+    routes = control.while_loop(d, F.col("k") < 20, 5, lambda rows: rows.select("id", (F.col("k") + 3).alias("k")))
+    return tagged({k: routes[k] for k in ("out", "error")})
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS key, 2 AS attempt FROM customer")
+def ctl_retry_passes(spark, sf_dir):
+    """Every batch fails twice and passes then, within a task's process."""
+
+    def make():
+        tries = {"n": 0}
+
+        def f(batch):
+            tries["n"] += 1
+            if tries["n"] % 3:
+                raise ValueError(f"attempt {tries['n']}")
+            return batch.assign(attempt=2)[["key", "attempt"]]
+
+        return f
+
+    return control.with_retries(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("key")), make(), "key bigint, attempt int", 2)
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey >= 20 THEN 'out' ELSE 'error' END AS route FROM nation")
 def ctl_while(spark, sf_dir):
     d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))

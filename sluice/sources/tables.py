@@ -33,6 +33,30 @@ def timer(spark: SparkSession, interval_ms: int) -> DataFrame:
     return rows.filter(passed(F.col("value")) > passed(F.col("value") - 1)).select(F.unix_millis("timestamp").alias("tick"))
 
 
+class TimestampedInput:
+    """Rows for a dataflow, each with the time that the input has reached; the time never goes back."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.time, self._sent, self._open = spark, schema, 0, [], True
+
+    def send(self, df: DataFrame) -> None:
+        if not self._open:
+            raise ValueError("the input is closed")
+        self._sent.append(df.withColumn("time", F.lit(self.time).cast("long")))
+
+    def advance_to(self, time: int) -> None:
+        if time < self.time:
+            raise ValueError(f"time can't go back from {self.time} to {time}")
+        self.time = time
+
+    def close(self) -> DataFrame:
+        """All that was sent, with `time`."""
+        self._open, out = False, self.spark.createDataFrame([], f"{self.schema}, time bigint")
+        for df in self._sent:
+            out = out.unionByName(df)
+        return out
+
+
 def constants(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -66,6 +66,75 @@ def supervise(start: Callable[[], StreamingQuery], policy: str = "restart", max_
             time.sleep(backoff_s)
 
 
+def supervise_group(starts: list[Callable[[], StreamingQuery]], max_restarts: int = 3, backoff_s: float = 0.0) -> int:
+    """Runs queries that belong together to their ends: when one fails, all are stopped and started again from their checkpoints. Returns the restarts."""
+    restarts = 0
+    while True:
+        running = [start() for start in starts]
+        try:
+            while any(q.isActive for q in running):
+                if any(not q.isActive and q.exception() is not None for q in running):
+                    break
+                time.sleep(0.05)
+            failed = next((q.exception() for q in running if q.exception() is not None), None)
+        finally:
+            for q in running:
+                q.stop()
+        if failed is None:
+            return restarts
+        if restarts >= max_restarts:
+            raise EscalatedError(str(failed))
+        restarts += 1
+        time.sleep(backoff_s)
+
+
+class Lifecycle:
+    """Queries that are started, paused, resumed and stopped together. Paused ones keep their place in their checkpoints; stopped ones don't go on."""
+
+    def __init__(self, starts: list[Callable[[], StreamingQuery]]):
+        self.starts, self.queries, self.state = starts, [], "new"
+
+    def start(self) -> None:
+        if self.state not in ("new", "paused"):
+            raise ValueError(f"can't start when {self.state}")
+        self.queries, self.state = [f() for f in self.starts], "running"
+
+    resume = start
+
+    def pause(self) -> None:
+        if self.state != "running":
+            raise ValueError(f"can't pause when {self.state}")
+        for q in self.queries:
+            q.stop()
+        self.state = "paused"
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+        self.queries, self.state = [], "stopped"
+
+
+@dataclass
+class Scaler:
+    """scale() in ticks: a bound must hold for `stable_s`, and `cooldown_s` must pass between changes."""
+
+    shards: int
+    stable_s: float = 30.0
+    cooldown_s: float = 60.0
+    bounds: dict = field(default_factory=dict)
+    _since: tuple[int, float] | None = None
+    _changed: float = float("-inf")
+
+    def tick(self, now: float, rate: float, backlog: int) -> int:
+        to = scale(self.shards, rate, backlog, **self.bounds)
+        way = (to > self.shards) - (to < self.shards)
+        if way == 0 or self._since is None or self._since[0] != way:
+            self._since = (way, now) if way else None
+        if way and now - self._since[1] >= self.stable_s and now - self._changed >= self.cooldown_s:
+            self.shards, self._changed, self._since = to, now, None
+        return self.shards
+
+
 def scale(shards: int, rate: float, backlog: int, least: int = 1, most: int = 1000, up_rate: float = 10_000, up_backlog: int = 50_000, down_rate: float = 1_000) -> int:
     """Shards (executors) for a load: one more above either bound, one less below down_rate without a backlog. On a cluster dynamic allocation does this."""
     if rate > up_rate or backlog > up_backlog:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -55,6 +55,11 @@ class _Keyed(StatefulProcessor):
     def get(self):
         return tuple(self.state.get()) if self.state.exists() else None
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802,N803
+        """Takes up exported state: the values' columns by name."""
+        names = [x.split()[0] for x in self.schema.split(", ")]
+        self.state.update(tuple(initialState[names].iloc[0].tolist()))
+
     def close(self) -> None:
         pass
 
@@ -162,6 +167,30 @@ class TimedOut(_Keyed):
         yield pd.DataFrame([(key[0], at, None, f"no row in {self.timeout} ms")], columns=["key", "time", "value", "error"]).astype({"value": "Int64"})
 
 
+class Delayed(_Keyed):
+    """Every row after `delay` ms of processing time, with how long it has waited; rows of one batch wait together."""
+
+    def __init__(self, delay: int):
+        self.delay = delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rows = handle, handle.getListState("rows", "time bigint, value bigint, arrived bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802,N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        for batch in rows:
+            self.rows.appendList([(int(t), int(v), now) for t, v in zip(batch["time"].tolist(), batch["value"].tolist(), strict=True)])
+        self.handle.registerTimer(now + self.delay)
+        yield pd.DataFrame([], columns=["key", "time", "value", "waited"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802,N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = [tuple(x) for x in self.rows.get()] if self.rows.exists() else []
+        later = [x for x in held if now - x[2] < self.delay]
+        self.rows.put(later) if later else self.rows.clear()
+        yield pd.DataFrame([(key[0], t, v, now - at) for t, v, at in held if now - at >= self.delay], columns=["key", "time", "value", "waited"])
+
+
 class LateSplit(_Keyed):
     """Rows with `late`: whether their tumbling window had ended by the largest time of their key before them."""
 
@@ -178,9 +207,16 @@ class LateSplit(_Keyed):
         yield pd.DataFrame(out, columns=["key", "time", "value", "late"])
 
 
-def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "None") -> DataFrame:
-    """A processor for each key; needs the RocksDB provider (ROCKS) in the session, and mode "ProcessingTime" for timers."""
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", mode)
+def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "None", initial: DataFrame | None = None) -> DataFrame:
+    """A processor for each key; needs the RocksDB provider (ROCKS) in the session, and mode "ProcessingTime" for timers. initial: state to begin with, as exported_state() gives it."""
+    return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", mode, None if initial is None else initial.groupBy(key))
+
+
+def exported_state(spark: SparkSession, checkpoint: str, name: str = "state", operator: int = 0, batch: int | None = None) -> DataFrame:
+    """A snapshot of a stream's keyed state as a table of keys and values, of the last batch or a given one; write it to keep it."""
+    read = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name)
+    rows = (read if batch is None else read.option("batchId", batch)).load(checkpoint)
+    return rows.select("key.*", "value.*")
 
 
 def processing_time_batches(df: DataFrame, interval: str, f: Callable[[DataFrame, int], None], checkpoint: str):

@@ -1,5 +1,6 @@
 """Literal cases of functions and operators, plans, flowcharts and streams."""
 
+import random
 import time
 
 import pandas as pd
@@ -11,7 +12,7 @@ from sluice.functions import scalars as n
 from sluice.functions import strings as s
 from sluice.functions import time as t
 from sluice.functions import types as ty
-from sluice.operators import control, joins, order, routing, windows
+from sluice.operators import control, joins, order, routing, windows, working
 from sluice.plans import mermaid, sharding
 from sluice.plans.graph import Graph, GraphError, plan_recompute
 from sluice.sources import tables
@@ -286,3 +287,89 @@ def test_progress():
     with pytest.raises(progress.EscalatedError):
         progress.supervise(lambda: started.append(1) or Failing(), "restart", 2)
     assert len(started) == 3 and progress.supervise(Failing, "stop") == 0
+
+
+def test_throttle_over_batches_and_nulls(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab") if i % 4 else None, None if i % 50 == 0 else rng.randrange(40_000), i) for i in range(25_000)]
+    got = {r.i for r in windows.throttled(spark.createDataFrame(rows, "k string, time long, i int"), "time", 37, ["k"], ["i"]).collect()}
+    want, last = set(), {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1] or 0, r[2])):
+        if k not in last or (t or 0) - last[k] >= 37:
+            want.add(i)
+            last[k] = t or 0
+    assert got == want
+
+
+def test_input_time_does_not_go_back(spark):
+    d = tables.TimestampedInput(spark, "x int")
+    d.send(spark.createDataFrame([(1,)], "x int"))
+    d.advance_to(5)
+    with pytest.raises(ValueError):
+        d.advance_to(4)
+    d.send(spark.createDataFrame([(2,)], "x int"))
+    assert sorted(map(tuple, d.close().collect())) == [(1, 0), (2, 5)]
+    with pytest.raises(ValueError):
+        d.send(spark.createDataFrame([(3,)], "x int"))
+
+
+def test_scaler_waits(spark):
+    s = progress.Scaler(2, stable_s=10, cooldown_s=30)
+    assert [s.tick(t, rate, 0) for t, rate in ((0, 20_000), (5, 20_000), (10, 20_000), (20, 20_000), (35, 20_000), (41, 20_000), (45, 5_000), (80, 10), (85, 5_000), (90, 10), (100, 10))] == [2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 3]
+
+
+def test_group_restarts_together_and_lifecycle(spark, tmp_path):
+    tries = {"n": 0}
+
+    def start(name, fails):
+        def batch(df, i):
+            if fails and tries["n"] < 1:
+                tries["n"] += 1
+                raise ValueError("once")
+            df.write.mode("append").parquet(str(tmp_path / name / "rows"))
+
+        return lambda: tables.read_stream(spark, str(tmp_path / "in"), "x long").writeStream.option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True).foreachBatch(batch).start()
+
+    spark.range(10).withColumnRenamed("id", "x").write.parquet(str(tmp_path / "in"))
+    assert progress.supervise_group([start("a", False), start("b", True)]) == 1
+    assert spark.read.parquet(str(tmp_path / "b" / "rows")).count() == 10
+    out = str(tmp_path / "live")
+    run = progress.Lifecycle([lambda: tables.read_stream(spark, str(tmp_path / "in"), "x long").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").start()])
+    run.start()
+    run.queries[0].processAllAvailable()
+    run.pause()
+    spark.range(5).withColumnRenamed("id", "x").write.mode("append").parquet(str(tmp_path / "in"))
+    assert run.state == "paused" and spark.read.parquet(f"{out}/rows").count() == 10
+    run.resume()
+    run.queries[0].processAllAvailable()
+    run.stop()
+    assert spark.read.parquet(f"{out}/rows").count() == 15
+    with pytest.raises(ValueError):
+        run.start()
+
+
+def test_working_folder():
+    class Fake:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        working.shared_dir(Fake)
+    Fake.sparkContext.master = "local[4]"
+    assert working.shared_dir(Fake) == "/tmp/checkpoints"
+
+
+def test_state_is_exported_and_taken_up(spark, tmp_path):
+    def run(rows, name, initial=None):
+        spark.createDataFrame(rows, "key string, value long, version long").coalesce(1).write.parquet(str(tmp_path / name / "in"))
+        d = tables.read_stream(spark, str(tmp_path / name / "in"), "key string, value long, version long")
+        out = live.stateful(d, "key", live.Versioned(), "key string, value bigint, version bigint", initial=initial)
+        out.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True).start().awaitTermination()
+        return {r.key: r.value for r in live.exported_state(spark, str(tmp_path / name / "state")).collect()}
+
+    assert run([("a", 1, 5), ("b", 2, 7)], "first") == {"a": 1, "b": 2}
+    live.exported_state(spark, str(tmp_path / "first" / "state")).write.parquet(str(tmp_path / "kept"))
+    assert run([("a", 9, 4), ("b", 8, 9), ("c", 3, 1)], "second", spark.read.parquet(str(tmp_path / "kept"))) == {"a": 1, "b": 8, "c": 3}

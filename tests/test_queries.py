@@ -40,7 +40,7 @@ def test_whole_joins(spark, tmp_path, how):
     customers, orders = [(1, "a"), (2, "b"), (5, "c"), (None, "d")], [(10, 1), (11, 1), (12, 5), (13, 7), (14, None)]
     spark.createDataFrame(customers, "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
-    got = catalog.QUERIES[f"join_{how}_whole"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES[f"join_{how}"](spark, str(tmp_path)).collect()
     want = [(1, "a", 10), (1, "a", 11), (5, "c", 12)]
     want += [(2, "b", None), (None, "d", None)] if how in ("left", "outer") else []
     want += [(7, None, 13), (None, None, 14)] if how in ("right", "outer") else []
@@ -48,7 +48,7 @@ def test_whole_joins(spark, tmp_path, how):
 
 
 def test_whole_stream_join_has_pairs_of_all_events(spark):
-    got = {(r.event_id % 2, r.other_id % 2) for r in catalog.QUERIES["stream_join_whole"](spark, SF).collect()}
+    got = {(r.event_id % 2, r.other_id % 2) for r in catalog.QUERIES["stream_join"](spark, SF).collect()}
     assert got == {(0, 0), (0, 1), (1, 0), (1, 1)}
 
 
