@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,50 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.working import Working, shared_dir  # noqa: F401
+
 #: Words of all contracts: runs of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are taken to numpy in slices of about this many bytes (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; an own one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Workspace:
-    """Working tables of one operator call, in the shared folder. A lost executor costs a reread, not a recomputation.
-
-    Tables that a returned DataFrame reads must outlive the call, so they go when the process ends;
-    drop() removes a table that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        #: Long texts make large rows: fewer rows to an Arrow batch keep Python workers small.
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        atexit.register(self._remove, self.root)
+class Workspace(Working):
+    """Working tables of one operator call; long texts make large rows, so few rows go to an Arrow batch while they are made."""
 
     def save(self, df: DataFrame, table: str, **options: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, table: str) -> None:
-        self._remove(f"{self.root}/{table}")
-
-    def _remove(self, path: str) -> None:
+        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name, None)
+        conf.set(name, str(min(1000, int(before or 10000))))
         try:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may be gone by then
-            return
+            return super().save(df, table, **options)
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
 
 
 def running(df: DataFrame, key: str, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
@@ -84,6 +57,14 @@ def source_sums(parts: DataFrame, value: str = "n") -> list[tuple]:
     return sorted(found, key=lambda x: (x[0] is None, x[0] or ""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it while df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

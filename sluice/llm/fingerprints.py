@@ -88,14 +88,14 @@ def in_order(docs: DataFrame) -> DataFrame:
     """Rows in ascending order within a bucket of ids, buckets dealt to tasks; the last row of each bucket (`extra`) is the first of the next one, and the first of all after the last.
 
     Bucket bounds are quantiles of the ids, so a task's share is bounded; the driver holds one id per bucket, and four
-    buckets per shuffle partition.
+    buckets per shuffle partition. Bounds are one constant of the plan, however many.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) or []))
     if bounds:
-        b, steps = F.array(*[F.lit(int(x)) for x in bounds]), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        b, steps = F.split(F.lit(",".join(str(int(x)) for x in bounds)), ",").cast("array<bigint>"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
         bucket = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, s: at + F.when(F.get(b, at + s - 1) <= F.col("doc_id"), s).otherwise(0))
     else:
         bucket = F.lit(0)

@@ -7,7 +7,8 @@ enough for Spark to broadcast by its size, and joins by host, split at run time
 
 Lines are the parts between line feeds, compared whole; those without a word are left alone. A line must stand on
 `least` pages, or a small host would have nothing else. Nulls: a null text stays null; a null host is a host. A text all
-of whose lines go is empty. Rows repeated count as pages. An empty table gives an empty result. Other columns are kept.
+of whose lines go is empty. Rows repeated count as pages. Ties: a line on just the share of pages stays. Very long texts are
+split and cleared whole, one at a time. An empty table gives an empty result. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, documents
+from .common import WORD, Workspace, documents, free_name
 from .native import let
 
 SHARE, LEAST = 0.05, 10
@@ -36,7 +37,7 @@ def boilerplate(docs: DataFrame, host: Column, share: float = SHARE, least: int
 
 
 def without_boilerplate(docs: DataFrame, host: Column | None = None, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """docs with `text` cleared of boilerplate, and n_lines, n_removed in a struct column `dedup`."""
+    """docs with `text` cleared of boilerplate, and n_lines, n_removed in a last, struct column `dedup` (`dedup_` if docs has one)."""
     host = F.col("source") if host is None else host
     ws = Workspace(docs.sparkSession, "lines")
     bad = ws.save(boilerplate(docs, host, share, least), "boilerplate")
@@ -50,12 +51,14 @@ def without_boilerplate(docs: DataFrame, host: Column | None = None, share: floa
     none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     out = F.when(F.col("text").isNull(), none).otherwise(let(lines(F.col("text")), lambda all_: F.when(F.col("bad").isNull(), whole(all_)).otherwise(cleared(all_))))
     rows = rows.select("doc", out.alias("dedup"))
-    return rows.select(*[F.col("dedup.text").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], "dedup")
+    return rows.select(*[F.col("dedup.text").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], F.col("dedup").alias(free_name(docs, "dedup")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their sources' boilerplate lines."""
-    return without_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", "dedup.n_lines", "dedup.n_removed")
+    docs = documents(spark, sf_dir)
+    name = free_name(docs, "dedup")
+    return without_boilerplate(docs).select("doc_id", "text", f"{name}.n_lines", f"{name}.n_removed")
 
 
 QUERIES = {"op6_line_dedup": op6_line_dedup}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_arrow
+from .common import documents, free_name, map_arrow
 
 #: The key of the registered query. A real run passes its own.
 DEMO_KEY = "demonstration key, not a secret"
@@ -259,7 +259,7 @@ def pseudonymise(text: str, key: str, reverse: bool = False) -> tuple[str, list[
 
 
 def pseudonymised(docs: DataFrame, key: str, reverse: bool = False) -> DataFrame:
-    """docs with pseudonyms in `text`, and a column `found` of structs kind, start, end."""
+    """docs with pseudonyms in `text`, and a last column `found` (`found_` if docs has one) of structs kind, start, end."""
     name = "_pseudonyms"
     keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text")
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -275,7 +275,7 @@ def pseudonymised(docs: DataFrame, key: str, reverse: bool = False) -> DataFrame
 
     schema = T.StructType([keep.schema["doc"], *T.StructType.fromDDL(f"text string, {name} array<struct<kind:string,start:bigint,end:bigint>>")])
     out = map_arrow(keep, change, schema)
-    return out.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], F.col(name).alias("found"))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], F.col(name).alias(free_name(docs, "found")))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

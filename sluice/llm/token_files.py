@@ -5,7 +5,7 @@ One row is a document: its key, how many ids it has, where it begins in its file
 offset indexes are written, so a reader takes the metadata columns alone, or the ids of chosen keys alone.
 
 Nulls: a null text has the end id only; a null key comes first. Repeated keys follow each other by their texts' hashes,
-so equal inputs give equal files. An empty table gives an empty file set. Other columns are left out, whatever their names.
+so equal inputs give equal files. A very long text is encoded whole, one at a time, into one row. An empty table gives an empty file set. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

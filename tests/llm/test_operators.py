@@ -578,6 +578,20 @@ def test_op10(spark, sf):
     assert all(got[j]["text"] == ROWS[j][1] for j in range(20))
 
 
+def test_names_of_result_columns_are_free(spark):
+    d = spark.createDataFrame([(1, "1999-12-31", "en", "s", 1, 2, 3)], "doc_id long, text string, lang string, source string, dedup int, found int, Found_ int")
+    assert line_dedup.without_boilerplate(d).columns == [*d.columns, "dedup_"]
+    assert pii.pseudonymised(d, "k").columns == [*d.columns, "found__"]
+
+
+def test_settings_are_left_as_found(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    ws = Workspace(spark, "test")
+    ws.save(spark.range(3), "x")
+    assert spark.conf.get(name, None) == before
+
+
 def test_pseudonyms_beside_odd_columns(spark):
     d = spark.createDataFrame([("1999-12-31", 1, "x"), (None, None, None)], "text string, `a b: c` int, `found,` string")
     out = sorted(map(tuple, pii.pseudonymised(d, "k").select("`a b: c`", "`found,`", F.size("found")).collect()), key=str)
