@@ -6,11 +6,9 @@ of documents; the last gives the packed pieces.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm.common import shared_dir
+from sluice.llm.common import Workspace
 from sluice.llm.line_dedup import without_boilerplate
 from sluice.llm.mixing import mixed_documents
 from sluice.llm.near_dedup import deduplicated
@@ -48,8 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    ws, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
-        docs = spark.read.parquet(f"{root}/{i}")
+        docs = ws.save(stage(spark, docs, sf_dir), str(i))
     return docs
