@@ -20,12 +20,13 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     so hot nodes are split over tasks.
     """
     todo = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges-0")
-    labels, i = None, 0
+    labels, i, made = None, 0, [f"{name}-edges-0"]
     while labels is None or not todo.isEmpty():
         i += 1
         down = todo.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id")
         ends = todo.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
         points = ws.save(down.unionByName(ends).groupBy("id").agg(F.min("root").alias("root")), f"{name}-{i}-0")
+        made += [f"{name}-{i}-{j}" for j in range(JUMPS + (i > 1))] + [f"{name}-edges-{i}"]
         for j in range(JUMPS):
             far = points.select(F.col("id").alias("j"), F.col("root").alias("far"))
             points = ws.save(points.join(far, points["root"] == far["j"]).select("id", F.col("far").alias("root")), f"{name}-{i}-{j + 1}")
@@ -34,7 +35,12 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
         todo = ws.save(moved.filter("a <> b").distinct(), f"{name}-edges-{i}")
         if labels is None:
             labels = points
+            made_labels = f"{name}-{i}-{JUMPS}"
         else:
             new = points.select(F.col("id").alias("_r"), F.col("root").alias("far"))
             labels = ws.save(labels.join(new, F.col("root") == F.col("_r"), "left").select("id", F.coalesce("far", "root").alias("root")), f"{name}-labels-{i}")
+            made.append(made_labels)
+            made_labels = f"{name}-labels-{i}"
+    for table in made:
+        ws.drop(table)
     return labels

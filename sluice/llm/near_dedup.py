@@ -258,8 +258,9 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = BAN
     maybe = ws.save(likely_rows(dealt.select(*DEALT), percent), "likely")
     full = maybe.join(texts.select(F.col("set_id").alias("s"), "text"), F.col("set_id") == F.col("s"))
     far = ws.save(linked(full.select(*DEALT, "text"), words, percent), "far-links")
-    ws.drop("texts")
     roots = components(ws, near.unionByName(far), "links")
+    for table in ("sets", "hubs", "buckets", "members", "wanted", "texts", "best", "hub-sizes", "stars", "near-links", "named", "open", "left", "sizes", "likely", "far-links"):
+        ws.drop(table)
     return all_.join(roots, all_["set_id"] == roots["id"], "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "set_id").alias("group"))
 
 
