@@ -1,8 +1,9 @@
 """PII pseudonyms: keyed Feistel permutations within each value's format, so equal values stay linked in all documents.
 
 Values are found by shape and then validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), dates (days that
-exist), IPv4 addresses (octets to 255), telephone numbers (10 to 15 digits in groups), social security numbers (area,
-group and serial in range), e-mail addresses. What isn't valid is left alone, but its groups of digits are tried again
+exist; year first, also before a time, day first, and month first where the day is after the 12th), IPv4 addresses (octets
+to 255), telephone numbers (10 to 15 digits in groups, behind a plus, or ten that North America's plan allows), social
+security numbers (area, group and serial in range), e-mail addresses (whose domain stays). What isn't valid is left alone, but its groups of digits are tried again
 alone and with those that follow, so a neighbouring number hides nothing. Values whose shape or check is sure (all but
 telephone numbers and cards in odd groups) go first, others are sought between them. No telephone number begins or ends
 inside what has another kind's shape and isn't valid, save with a plus or a bracket. It ends where North America's
@@ -41,14 +42,15 @@ STRICT = re.compile(
     r"(?P<email>(?<![\w.+-])[\w+-][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
-    r"|(?P<date>(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[.-][0-9]))"
+    r"|(?P<date>(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]{2}:)|[.-][0-9]))"
     r"|(?P<ssn>(?<![0-9A-Za-z-])(?<!\+[0-9] )(?<!\+[0-9]{2} )(?<!\+[0-9]{3} )[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9]))"
     r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])(?:[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?:(?P=s)[0-9]{1,3})?|[0-9]{6}(?P=s)[0-9]{4,5}))(?![0-9A-Za-z]))",
     re.ASCII,
 )
 #: Digits in any groups, between the values of STRICT.
 CARD = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")
-PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])")
+PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
+                   r"|(?:\+|00)[1-9][0-9]{0,2}[ .-]\(?[0-9]{1,5}\)?[ .-][0-9]{5,8}|\+[1-9][0-9]{9,14}|[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9A-Za-z]|[.-][0-9])")
 LOOSE = re.compile(f"{CARD.pattern}|{PHONE.pattern}")
 #: Telephone numbers whose grouping says where they end: ten digits of North America; one separator all through.
 BOUND = re.compile(r"(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?|\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|\+?[0-9]{1,4}(?P<s>[.-])(?:[0-9]{2,4}(?P=s)){2,3}[0-9]{2,4}(?= )")
@@ -153,8 +155,19 @@ def phone(v: str, key: str, reverse: bool) -> str | None:
     d = digits_of(v)
     if not 10 <= len(d) <= 15:
         return None
-    country = len(re.match(r"\+?([0-9]*)", v)[1]) if v[0] == "+" else 0
-    country = min(country, 3, len(d) - 7)
+    if v.isdigit() and len(v) == 10:  # without groups: North America's, whose area and exchange begin with 2 to 9
+        area, exchange, line = int(v[:3]) - 200, int(v[3:6]) - 200, int(v[6:])
+        if min(area, exchange) < 0:
+            return None
+        x, line = divmod(permuted((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, f"{key}/phone ten", reverse), 10_000)
+        return f"{x // 800 + 200}{x % 800 + 200}{line:04}"
+    if v[1:] == d:  # how long the country's code is, isn't told by groups
+        country = 1 if d[0] in "17" else 2
+    elif v[0] == "+":
+        country = min(len(re.match(r"\+([0-9]*)", v)[1]), 3, len(d) - 7)
+    else:  # a group that begins with 00 has a country's code
+        first = re.match(r"00[1-9][0-9]{0,2}(?![0-9])", v)
+        country = len(first[0]) if first and len(d) - len(first[0]) >= 7 else 0
     new = digits(d[country:], key, f"phone{d[:country]}", reverse)
     while is_card(d[:country] + new) != is_card(d):  # or it would be read as a card
         new = digits(new, key, f"phone{d[:country]}", reverse)
@@ -171,8 +184,32 @@ def ssn(v: str, key: str, reverse: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03}-{group + 1:02}-{serial + 1:04}"
 
 
+@cache
+def late_days() -> list[int]:
+    """Days after the 12th before each month since 1900."""
+    out = [0]
+    for i in range(2400):
+        first = dt.date(1900 + i // 12, i % 12 + 1, 1)
+        following = dt.date(1900 + (i + 1) // 12, (i + 1) % 12 + 1, 1)
+        out.append(out[-1] + (following - first).days - 12)
+    return out
+
+
+def month_first(v: str, key: str, reverse: bool) -> str | None:
+    """month/day/year with a day after the 12th, which no other format has, stays one."""
+    month, day, year = (int(x) for x in v.split("/"))
+    before, i = late_days(), (year - 1900) * 12 + month - 1
+    if not month or not 0 <= i < 2400 or not 0 < day - 12 <= before[i + 1] - before[i]:
+        return None
+    x = permuted(before[i] + day - 13, before[-1], f"{key}/month first", reverse)
+    i = bisect.bisect_right(before, x) - 1
+    return f"{i % 12 + 1:02}/{x - before[i] + 13:02}/{1900 + i // 12}"
+
+
 def date(v: str, key: str, reverse: bool) -> str | None:
     form = "%Y-%m-%d" if v[4] == "-" else f"%d{v[2]}%m{v[5]}%Y"
+    if v[2] == v[5] == "/" and int(v[:2]) <= 12 < int(v[3:5]):
+        return month_first(v, key, reverse)
     try:
         day = dt.datetime.strptime(v, form).date().toordinal() - EPOCH
     except ValueError:

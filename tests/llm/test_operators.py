@@ -616,6 +616,8 @@ def test_pseudonyms_keep_formats_and_reverse():
         ("BE68 5390 0754 7034 PAID", ["BE68 5390 0754 7034"]), ("AC13 BE68 5390 0754 7034 PAID", ["BE68 5390 0754 7034"]), ("0049 151 2345 6789", ["0049 151 2345 6789"]),
         ("+1 (743) 555-3824 12", ["+1 (743) 555-3824"]), ("743-555-3824 12 34", ["743-555-3824"]), ("+49-151-2345-6789 12", ["+49-151-2345-6789"]), ("+49 151 2345 6789 12/26", ["+49 151 2345 6789"]),
         ("+49 151 2345 6789 4012 8888 8888 1881", ["+49 151 2345 6789", "4012 8888 8888 1881"]), ("+49 151 2345 6789 1234 5677", ["+49 151 2345 6789"]), ("+49 151-23-4567", ["+49 151-23-4567"]),
+        ("+17435553824", ["+17435553824"]), ("call 7435553824 now", ["7435553824"]), ("0049 30 1234567", ["0049 30 1234567"]), ("+49 30 12345678.", ["+49 30 12345678"]), ("12/31/1999", ["12/31/1999"]), ("1999-12-31T10:00:00", ["1999-12-31"]),
+        ("1700000000 x7435553824 74355538241 2435553824x", []), ("02/30/1999 13/32/1999 1999-12-31Tx 1999-12-31T1", []),
         ("4111 1111 1111 1112", []), ("12 4111 1111 1111 1112", []), ("GB82 WEST 1234 5698 7654 33", []), ("300.100.100.100 1999-02-31", []),
     ],
 )
@@ -626,6 +628,33 @@ def test_values_beside_other_numbers(text, want):
     assert pii.pseudonymise(new, "k", reverse=True)[0] == text
 
 
+def test_planted_values_are_found_and_stay_linked(spark):
+    """Values of all formats among words, each planted in two documents: found in both with one pseudonym, of its format, and given back by the key."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    day = lambda: pii.dt.date.fromordinal(rng.randrange(pii.EPOCH, pii.EPOCH + pii.DAYS))
+    late = lambda: next(d for d in iter(day, None) if d.day > 12)
+    makers = {
+        "card": lambda: (lambda b: b + str(pii.check_digit(b)))("4" + digits(14)), "email": lambda: f"u{digits(3)}.{rng.choice('abc')}@mail{digits(1)}.example.org",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "ssn": lambda: f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}",
+        "date": lambda: rng.choice([day().strftime("%Y-%m-%d"), day().strftime("%d.%m.%Y"), late().strftime("%m/%d/%Y"), day().strftime("%Y-%m-%d") + "T10:20:30Z"]),
+        "phone": lambda: rng.choice([f"+1{rng.randint(200, 999)}{rng.randint(200, 999)}{digits(4)}", f"{rng.randint(200, 999)}{rng.randint(200, 999)}{digits(4)}", f"0049 {rng.randint(10, 99)} {rng.randint(10**6, 10**7 - 1)}", f"+44 {rng.randint(10, 99)} {digits(4)} {digits(4)}"]),
+    }
+    planted = [(k, make()) for k, make in makers.items() for _ in range(40)]
+    words = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(5))
+    texts = [f"{words()} {v} {words()}" for _ in range(2) for _, v in planted]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymised(d, "k")
+    got = {r.doc_id: r for r in out.collect()}
+    for i, (k, v) in enumerate(planted):
+        a, b = got[i], got[i + len(planted)]
+        value = v.split("T")[0]
+        assert [(x.kind, texts[i][x.start : x.end]) for x in a.found] == [(k, value)], (k, v)
+        new = a.text[a.found[0].start : a.text.index(" ", a.found[0].end)] if k != "date" else a.text[a.found[0].start :][: len(value)]
+        assert new != value and new in b.text and [c.isdigit() for c in new[: len(value)]] == [c.isdigit() for c in value] or k == "ip"
+    assert {r.doc_id: r.text for r in pii.pseudonymised(out.drop("found"), "k", reverse=True).collect()} == dict(enumerate(texts))
+
+
 def test_kernels():
     for n in (1, 2, 3, 1000, 4097):
         assert sorted(kernels.permute(np.arange(n), n, 9)) == list(range(n))
