@@ -7,13 +7,14 @@ have fewer than k members. Memory is k hashes for a text of any length.
 
 Nulls: a null text is empty. A text with fewer words than a shingle is one shingle, without words it has none; two empty
 sets resemble each other fully, an empty one and another not at all. Null ids come first; rows of one id follow each
-other by their texts' hashes. An empty table gives an empty result. Other columns are left out, whatever their names.
+other by their texts' hashes, so ties are equal rows. Long texts are worked through in pieces of a million words. An empty table gives an empty result. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -87,28 +88,32 @@ def fingerprinted(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows in ascending order within a bucket of ids, buckets dealt to tasks; the last row of each bucket (`extra`) is the first of the next one, and the first of all after the last.
 
-    Bucket bounds are quantiles of the ids, so a task's share is bounded; the driver holds one id per bucket, and four
-    buckets per shuffle partition. Bounds are one constant of the plan, however many.
+    Bucket bounds are quantiles of the ids, and where one id (or none) has the rows of several buckets, parts of its
+    texts' hashes, so a task's share is bounded; the driver holds one key per bucket, and four buckets per shuffle
+    partition. Bounds are two constants of the plan, however many.
     """
-    spark = docs.sparkSession
+    spark, least = docs.sparkSession, -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(least))).withColumn("h", F.xxhash64("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) or []))
+    found = Counter(int(x) for x in rows.approxQuantile("k", [i / n for i in range(1, n)], 1 / (8 * n)) or [])
+    bounds = [(k, least + (i << 64) // m) for k, m in sorted(found.items()) for i in range(m)]
     if bounds:
-        b, steps = F.split(F.lit(",".join(str(int(x)) for x in bounds)), ",").cast("array<bigint>"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
-        bucket = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, s: at + F.when(F.get(b, at + s - 1) <= F.col("doc_id"), s).otherwise(0))
+        k, h = (F.split(F.lit(",".join(str(x[i]) for x in bounds)), ",").cast("array<bigint>") for i in (0, 1))
+        reached = lambda at: (F.get(k, at) < F.col("k")) | ((F.get(k, at) == F.col("k")) & (F.get(h, at) <= F.col("h")))
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+        bucket = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(reached(at + s - 1), s).otherwise(0))
     else:
         bucket = F.lit(0)
-    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"))
     rows = rows.withColumn("bucket", bucket)
-    heads = sorted(rows.groupBy("bucket").agg(F.min(key).alias("k")).select("bucket", "k.doc_id", "k.h").collect())
+    heads = sorted(rows.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("at")).select("bucket", "at.k", "at.h").collect())
     if not heads:
         return rows.withColumn("extra", F.lit(False))
     order = [x[0] for x in heads]
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
-    table = spark.createDataFrame([(before[x], d, h) for x, d, h in heads], "to int, d long, h long")
-    extra = rows.join(F.broadcast(table), rows["doc_id"].eqNullSafe(table["d"]) & (F.xxhash64("text") == table["h"])).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
-    return rows.withColumn("extra", F.lit(False)).unionByName(extra).repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    table = spark.createDataFrame([(before[x], k, h) for x, k, h in heads], "to int, first_k long, first_h long")
+    extra = rows.join(F.broadcast(table), (F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h"))).select("doc_id", "text", "k", "h", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
+    return rows.withColumn("extra", F.lit(False)).unionByName(extra).repartition("bucket").sortWithinPartitions("bucket", "extra", "k", "h").drop("k", "h")
 
 
 def with_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:

@@ -504,6 +504,18 @@ def test_op8(spark, sf):
             assert abs(near - (len(s[0] & other) / len(s[0] | other) if s[0] | other else 1)) < 0.15
 
 
+def test_hot_ids_are_split(spark):
+    """Half of the rows have no id and a quarter one id: each row is followed by the next by id and hash, in many buckets."""
+    rows = [(None if i % 2 else 7 if i % 4 == 0 else i, f"text number {i} of all") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprints.in_order(d)
+    assert dealt.filter("not extra").groupBy("bucket").count().agg(F.max("count")).collect()[0][0] < 120
+    order = [r.text for r in d.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + following[t][: len(t) // 2]).encode()).hexdigest() for t in order}
+    assert {r.edited_sha256 for r in fingerprints.with_next(d).collect()} == want
+
+
 def test_fingerprint_estimates():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2))
