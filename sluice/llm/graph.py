@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Pointer jumps in a round: chains of up to 2 ** JUMPS nodes collapse at once, longer ones over more rounds.
+#: Steps along pointers in a round, all in one job: chains of JUMPS + 1 nodes collapse at once, longer ones over more rounds.
 JUMPS = 3
 
 
@@ -20,27 +20,28 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     so hot nodes are split over tasks.
     """
     todo = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges-0")
-    labels, i, made = None, 0, [f"{name}-edges-0"]
+    labels, at, i, read = None, "", 0, [f"{name}-edges-0"]
     while labels is None or not todo.isEmpty():
         i += 1
         down = todo.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id")
         ends = todo.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
-        points = ws.save(down.unionByName(ends).groupBy("id").agg(F.min("root").alias("root")), f"{name}-{i}-0")
-        made += [f"{name}-{i}-{j}" for j in range(JUMPS + (i > 1))] + [f"{name}-edges-{i}"]
+        steps = ws.save(down.unionByName(ends).groupBy("id").agg(F.min("root").alias("root")), f"{name}-{i}-steps")
+        points = steps
         for j in range(JUMPS):
-            far = points.select(F.col("id").alias("j"), F.col("root").alias("far"))
-            points = ws.save(points.join(far, points["root"] == far["j"]).select("id", F.col("far").alias("root")), f"{name}-{i}-{j + 1}")
+            far = steps.select(F.col("id").alias(f"_{j}"), F.col("root").alias("far"))
+            points = points.join(far, F.col("root") == F.col(f"_{j}")).select("id", F.col("far").alias("root"))
+        points = ws.save(points, f"{name}-{i}-points")
         to = lambda c: points.select(F.col("id").alias(f"_{c}"), F.col("root").alias(f"new_{c}"))  # noqa: B023,E731
         moved = todo.join(to("a"), F.col("a") == F.col("_a")).join(to("b"), F.col("b") == F.col("_b")).select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
         todo = ws.save(moved.filter("a <> b").distinct(), f"{name}-edges-{i}")
+        read += [f"{name}-{i}-steps", f"{name}-edges-{i}"]
         if labels is None:
-            labels = points
-            made_labels = f"{name}-{i}-{JUMPS}"
+            labels, at = points, f"{name}-{i}-points"
         else:
             new = points.select(F.col("id").alias("_r"), F.col("root").alias("far"))
-            labels = ws.save(labels.join(new, F.col("root") == F.col("_r"), "left").select("id", F.coalesce("far", "root").alias("root")), f"{name}-labels-{i}")
-            made.append(made_labels)
-            made_labels = f"{name}-labels-{i}"
-    for table in made:
+            read += [at, f"{name}-{i}-points"]
+            at = f"{name}-labels-{i}"
+            labels = ws.save(labels.join(new, F.col("root") == F.col("_r"), "left").select("id", F.coalesce("far", "root").alias("root")), at)
+    for table in read:
         ws.drop(table)
     return labels

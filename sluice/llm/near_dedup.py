@@ -228,9 +228,8 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = BAN
     hubs = ws.save(keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", "hub"), "hubs")
     buckets = ws.save(keys.join(hubs, "key"), "buckets")
     ws.drop("keys")
-    members = ws.save(buckets.select("set_id").distinct(), "members")
     text = docs.select(F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("h"))
-    wanted = ws.save(sets.join(members.withColumnRenamed("set_id", "m"), F.col("set_id") == F.col("m"), "left_semi"), "wanted")
+    wanted = ws.save(sets.join(buckets.select(F.col("set_id").alias("m")), F.col("set_id") == F.col("m"), "left_semi"), "wanted")
     texts = ws.save(wanted.join(text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("set_id", "n_shingles", "regs", "text"), "texts")
 
     # each set against the hub with which it shares most bands
@@ -241,7 +240,7 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = BAN
     dealt = best.join(sized, F.col("hub") == F.col("h")).select("s", F.col("hub").alias("coarse"), F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("i"))
     centres = sized.select(F.col("h").alias("s"), F.col("h").alias("coarse"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
     stars = dealt.withColumn("own", F.lit(-1)).unionByName(centres.withColumn("own", F.col("i"))).withColumn("j", F.lit(-1))
-    stars = ws.save(stars, "stars").join(texts, F.col("s") == F.col("set_id")).withColumn("comp", F.col("set_id"))
+    stars = stars.join(texts, F.col("s") == F.col("set_id")).withColumn("comp", F.col("set_id"))
     near = ws.save(linked(stars.select(*DEALT, "text"), words, percent), "near-links")
     roots = components(ws, near, "near")
 
@@ -259,7 +258,7 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = BAN
     full = maybe.join(texts.select(F.col("set_id").alias("s"), "text"), F.col("set_id") == F.col("s"))
     far = ws.save(linked(full.select(*DEALT, "text"), words, percent), "far-links")
     roots = components(ws, near.unionByName(far), "links")
-    for table in ("sets", "hubs", "buckets", "members", "wanted", "texts", "best", "hub-sizes", "stars", "near-links", "named", "open", "left", "sizes", "likely", "far-links"):
+    for table in ("sets", "hubs", "buckets", "wanted", "texts", "best", "hub-sizes", "near-links", "named", "open", "left", "sizes", "likely", "far-links"):
         ws.drop(table)
     return all_.join(roots, all_["set_id"] == roots["id"], "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "set_id").alias("group"))
 
