@@ -55,11 +55,6 @@ def parse_label(text: str) -> tuple[str, str] | None:
     return (unescaped(m[1]), unescaped(m[2])) if m else None
 
 
-def safe(port: str) -> str:
-    """`end` is a word of the language."""
-    return "end_port" if port == "end" else re.sub(r"[. -]", "_", port)
-
-
 def _comment(bp: Blueprint, text: str) -> None:
     if m := re.match(r"input (\S+) -> (\S+)\.(\S+)$", text):
         bp.inputs[m[1]] = (m[2], m[3])

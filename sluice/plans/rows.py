@@ -396,6 +396,17 @@ def shard_all(spark, sf_dir):
     return order.merged([sharding.owned(d, ["c_custkey"], i, 4) for i in range(4)])
 
 
+@query("SELECT c_custkey, 1 AS owners, true AS whole, 4 AS shards FROM customer")
+def shard_once(spark, sf_dir):
+    """Every key has one owner, all its rows with it, and every shard owns some."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey")))
+    rows = order.merged([sharding.owned(d, ["c_custkey"], i, 4).withColumn("shard", F.lit(i)) for i in range(4)])
+    held = rows.groupBy("c_custkey").agg(F.count_distinct("shard").cast("int").alias("owners"), F.count("*").alias("n"))
+    all_ = d.groupBy(F.col("c_custkey").alias("k")).agg(F.count("*").alias("m"))
+    shards = rows.agg(F.count_distinct("shard").cast("int").alias("shards"))
+    return held.join(all_, F.col("c_custkey") == F.col("k")).select("c_custkey", "owners", (F.col("n") == F.col("m")).alias("whole")).join(F.broadcast(shards), F.lit(True))
+
+
 @query(EVENTS + ", g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) > 86400000 THEN 1 ELSE 0 END AS gap FROM e), s AS (SELECT *, max(gap) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS ended FROM g) SELECT event_id FROM s WHERE ended = 0")
 def win_timeout(spark, sf_dir):
     return windows.within_timeout(events(spark, sf_dir), "ms", 86_400_000, ["user_id"], ["ms", "event_id"]).select("event_id")

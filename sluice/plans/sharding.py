@@ -30,3 +30,13 @@ def migration(df: DataFrame, keys: list[str], before: int, after: int) -> DataFr
     """Keys that another shard owns once there are `after` instead of `before`: the keys, from_shard, to_shard."""
     moves = df.select(*keys).distinct().withColumn("from_shard", shard(keys, before)).withColumn("to_shard", shard(keys, after))
     return moves.filter("from_shard <> to_shard")
+
+
+def absorbed(df: DataFrame, keys: list[str], failed: int, before: int) -> DataFrame:
+    """Keys of a failed shard and who takes them: the keys, to_shard among the one fewer shards left, and from which of the old ones that is (was_shard). The shards left are renumbered without a gap."""
+    if not 0 <= failed < before:
+        raise ValueError(f"no shard {failed} of {before}")
+    lost = owned(df, keys, failed, before).select(*keys).distinct()
+    if before == 1:
+        return lost.limit(0).withColumn("to_shard", F.lit(0)).withColumn("was_shard", F.lit(0))
+    return lost.withColumn("to_shard", shard(keys, before - 1)).withColumn("was_shard", (F.col("to_shard") + (F.col("to_shard") >= failed).cast("int")).cast("int"))

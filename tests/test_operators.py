@@ -373,3 +373,13 @@ def test_state_is_exported_and_taken_up(spark, tmp_path):
     assert run([("a", 1, 5), ("b", 2, 7)], "first") == {"a": 1, "b": 2}
     live.exported_state(spark, str(tmp_path / "first" / "state")).write.parquet(str(tmp_path / "kept"))
     assert run([("a", 9, 4), ("b", 8, 9), ("c", 3, 1)], "second", spark.read.parquet(str(tmp_path / "kept"))) == {"a": 1, "b": 8, "c": 3}
+
+
+def test_failed_shard_is_absorbed(spark):
+    d = spark.range(500).unionByName(spark.range(3).select(F.lit(None).cast("long").alias("id")))
+    lost = {r.id for r in sharding.owned(d, ["id"], 1, 4).collect()}
+    got = {r.id: (r.to_shard, r.was_shard) for r in sharding.absorbed(d, ["id"], 1, 4).collect()}
+    assert set(got) == lost and {x for x, _ in got.values()} == {0, 1, 2} and set(got.values()) == {(0, 0), (1, 2), (2, 3)}
+    for i in range(3):
+        assert {k for k, (to, _) in got.items() if to == i} == lost & {r.id for r in sharding.owned(d, ["id"], i, 3).collect()}
+    assert sharding.absorbed(d, ["id"], 0, 1).count() == 0
