@@ -92,16 +92,21 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Freed memory goes back to the system, as Spark keeps its Python workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def released(rows: Iterator) -> Iterator:
-    """The rows; at the end of a task, freed memory goes back to the system, as Spark keeps its Python workers."""
+    """The rows; memory is given back at the end of a task."""
     try:
         yield from rows
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library than glibc
-            pass
+        trim()
 
 
 def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:

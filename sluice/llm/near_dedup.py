@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, flat, map_arrow, map_batches, record
+from .common import Workspace, documents, flat, map_arrow, map_batches, record, trim
 from .graph import components
 from .kernels import LOWER, mix, shingles, word_hashes
 
@@ -184,6 +184,9 @@ def linked(dealt: DataFrame, words: int, percent: int) -> DataFrame:
             h, counts = word_hashes(LOWER[data], offsets)
             each = [shingle_set(h[a:b], words) for a, b in zip(counts[:-1], counts[1:], strict=True)]
             links = spanning_links(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), regs, picked["comp"].to_numpy(), side, percent)
+            del h, each, data
+        if group.nbytes > 1 << 20:
+            trim()
         ids = picked["set_id"].to_numpy()
         return pa.table({"a": pa.array([ids[a] for a, _ in links], pa.int64()), "b": pa.array([ids[b] for _, b in links], pa.int64())}, schema=LINKS)
 
