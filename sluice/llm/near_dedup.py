@@ -28,6 +28,7 @@ An empty table gives an empty result. Other columns are left out, whatever their
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +47,21 @@ RATIO = 14.0
 BANDS, ROWS = 60, 7
 
 
+@cache
+def family(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """What makes m 32-bit hashes of one: bits to flip, and odd factors."""
+    seeds = (mix(np.arange(1, 2 * m + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    return seeds[:m], seeds[m:] | np.uint32(1)
+
+
 def minima(x: np.ndarray, m: int) -> np.ndarray:
     """Least of m 32-bit hashes of a set of 64-bit hashes."""
-    seeds = (mix(np.arange(1, 2 * m + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-    flip, odd = seeds[:m, None], seeds[m:, None] | np.uint32(1)
-    short, least = (x >> np.uint64(32)).astype(np.uint32), np.full(m, 0xFFFFFFFF, np.uint32)
+    (flip, odd), short = family(m), (x >> np.uint64(32)).astype(np.uint32)
+    least = np.full(m, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(short), 256):
-        some = short[None, i : i + 256] ^ flip
+        some = short[i : i + 256, None] ^ flip
         some *= odd
-        np.minimum(least, some.min(1), out=least)
+        np.minimum(least, some.min(0), out=least)
     return least
 
 
