@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,38 @@ def test_empty_table(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+CLASHES = "k h i q v s n w at lo gone gone_id kept limits t_lang t_source doc doc_ dedup found host bad b_host line pages group piece middle anchor content copies first set_id regs coarse own comp hub root id part row stretch name size source_no source_size target block slot no p bucket extra to blob spans rule_version part_ start local_start ids n_tokens".split()
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_columns_of_any_name(spark, tmp_path, name):
+    """Further columns, named as the operators name their own, change nothing."""
+    rows = [r[:5] for r in ROWS[:60] if r[0] is not None]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    d.write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    d.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)]).coalesce(1).write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    plain, more = (bag((k, str(v)) for r in run(spark, str(tmp_path / x), name) for k, v in r.items()) for x in ("plain", "more"))
+    assert plain == more
+
+
+def test_very_long_text(spark, tmp_path):
+    """One text of 300,000 words beside a short one, through every query."""
+    rng = np.random.default_rng(9)
+    long = "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 50_000, 10)) for _ in range(30_000)) + "\npassword=abcdefghijkl1 4111 1111 1111 1111"
+    rows = [(1, long, "en", "a"), (2, "a short text of some ten words that stands beside it", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {name: [r for r in run(spark, str(tmp_path), name) if r["doc_id"] == 1] for name in queries.QUERIES}
+    one = {name: rows[0] for name, rows in got.items()}
+    w = W.findall(long)
+    ids = 1 + len(tokens.Encoder(tokens.default_tokenizer(), parts=False).encode(pa.array([long]))[0])
+    assert all(len(x) == 1 for name, x in got.items() if name != "op3_packing")
+    assert one["op1_suffix_dedup"]["n_bytes"] == len(long) and one["op1_suffix_dedup"]["n_removed"] == 0
+    assert one["op2_mixing"]["size"] == len(w) and sum(p["length"] for p in got["op3_packing"]) == one["op5_token_files"]["n_tokens"] == ids
+    assert one["op4_near_dedup"]["n_shingles"] == len({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    assert one["op6_line_dedup"]["n_lines"] == 30_001 and one["op7_quality"]["n_words"] == len(w) and one["op8_fingerprints"]["n_chars"] == len(long)
+    assert one["op9_secrets"]["n_assign"] == 1 and one["op10_pii"]["n_card"] == 1
+
+
 def brute_repeats(texts, length, first=False):
     data = [t.encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -364,7 +397,6 @@ def test_token_file_layout(spark, docs, tmp_path, encoding):
 
 
 def test_encoder_matches_the_library():
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     odd = ["don't it'sx it's. İ, ẞ. ΣΑΣ. Årm J̌o x́, ́.", None, "", "y" * 5000 + ".", "a\x1cb \x85. q w. \x0b\x0c z", "中文。中. ǅ. ... ., , .", "<|ENDOFTEXT|> a<|endoftext|>. <|StartOfText|>, <B>."]
