@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,10 +86,18 @@ def retried(df: DataFrame, f: Callable, schema: str, max_retries: int, base_dela
             try:
                 yield filled(f(batch), "_o_", None)
             except Exception:
+                alike, failed, errors = {}, [], []  # frames of the same types go together, so no value changes its type
                 for i in range(len(batch)):
-                    row = batch.iloc[i : i + 1]
-                    out, error = attempts(row)
-                    yield filled(out, "_o_", None) if error is None else filled(row, "_i_", error)
+                    out, error = attempts(batch.iloc[i : i + 1])
+                    if error is None:
+                        alike.setdefault(tuple(map(str, out.dtypes.items())), []).append(out)
+                    else:
+                        failed.append(i)
+                        errors.append(error)
+                for frames in alike.values():
+                    yield filled(pd.concat(frames), "_o_", None)
+                if failed:
+                    yield filled(batch.iloc[failed], "_i_", errors)
 
     rows = saved(df.mapInPandas(run, both))
     out = rows.filter("_error is null").select(*[F.col(f"_o_{x.name}").alias(x.name) for x in made])

@@ -133,6 +133,18 @@ def test_retried_sends_bad_rows_to_error(spark):
     assert not control.retried(d.limit(0), f, "i int, y int", 1)["out"].count()
 
 
+def test_retried_keeps_values_of_many_rows(spark):
+    def f(batch):
+        if (batch["i"] % 3 == 0).any():
+            raise ValueError(f"third {batch['i'].iloc[0]}")
+        return batch.assign(y=[None if v % 2 else v for v in batch["v"]])[["i", "y"]]
+
+    rows = [(i, 2**60 + i) for i in range(100)]
+    routes = control.retried(spark.createDataFrame(rows, "i long, v long").coalesce(1), f, "i long, y long", 0)
+    assert sorted((r.i, r.y) for r in routes["out"].collect()) == [(i, None if v % 2 else v) for i, v in rows if i % 3]
+    assert sorted(tuple(r) for r in routes["error"].collect()) == [(i, v, f"third {i}") for i, v in rows if not i % 3]
+
+
 def test_shards(spark):
     d = spark.createDataFrame([(k,) for k in (None, *range(50))], "k int")
     parts = [{r.k for r in sharding.owned(d, ["k"], i, 3).collect()} for i in range(3)]
